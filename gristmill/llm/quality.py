@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from gristmill.llm.common import discard, map_rows, materialize, small_enough
 
 #: Ratios, scaled to integers, and the least distance that a fence keeps from its quartile.
-METRICS = {"word_len": 1500, "symbols": 800, "dup_lines": 2000, "repeats": 1200}
+METRICS = {"word_len": 1500, "symbols": 800, "dup_lines": 5000, "repeats": 2000}
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
