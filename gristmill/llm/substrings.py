@@ -315,8 +315,10 @@ def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     trash = [path]
     for level, key in enumerate(KEYS):
         again = runs.groupBy("h").agg(F.sum("c").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("n > 1")
-        shared, path = materialize(runs.join(again.select("h", (F.col("d0") != F.col("d1")).alias("mixed")), "h"), "shared")
-        discard(spark, *trash)
+        # written first: a join of two plain tables lets AQE split an anchor of very many runs
+        again, again_path = materialize(again.select("h", (F.col("d0") != F.col("d1")).alias("mixed")), "again")
+        shared, path = materialize(runs.join(again, "h"), "shared")
+        discard(spark, again_path, *trash)
         _clean(spark)
         trash = [path]
         marks.append(_run_marks(shared.where("NOT mixed")))
