@@ -139,5 +139,5 @@ def test_class_probabilities_sum_to_one():
     from gristmill.llm import lm
 
     rng = np.random.default_rng(0)
-    logs = lm.class_logs(rng.normal(size=(16, 8)).astype(np.float32), np.zeros(8, np.float32), rng.integers(0, 16, (3, 50)).astype(np.uint16))
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
+    logits, _, norm = lm.class_scores(rng.normal(size=(16, 8)).astype(np.float32), np.zeros(8, np.float32), rng.integers(0, 16, (3, 50)).astype(np.uint16))
+    assert np.allclose((np.exp(logits) / norm[:, None]).sum(axis=1), 1, atol=1e-5)
