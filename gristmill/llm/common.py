@@ -51,6 +51,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, as rows hold whole texts: a task then holds a few MB of them at a time."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):
+        spark.conf.set(key, value)
+
+
 def map_rows(
     df: DataFrame,
     schema: T.StructType | str,
@@ -63,6 +69,7 @@ def map_rows(
         for batch in batches:
             yield from step(batch)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.bpe import encoder, vocab_path
-from gristmill.llm.common import map_rows, materialize
+from gristmill.llm.common import bound_batches, map_rows, materialize
 
 EOS = 50256
 BLOCK_IDS = 1 << 15
@@ -66,6 +66,7 @@ def write_token_blocks(docs: DataFrame, path: str | None = None, block_ids: int
         if held:
             yield row("block", [block], [np.concatenate(pending).tobytes()], [None])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(run, "kind string, file string, place long, data binary, doc_id long")
     table, _ = materialize(rows, "tokens", ["kind"])
     return (
