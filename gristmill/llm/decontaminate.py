@@ -186,7 +186,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents in which no item is found."""
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Arrow functions take no names with dots
     for items in _item_blocks(benchmark):
 
         def make(items=items):
@@ -198,7 +200,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
             return step
 
         docs = map_rows(docs, docs.schema, make)
-    return docs
+    return docs.toDF(*names)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -14,14 +14,14 @@ judged alike, one result row each; extra columns are carried untouched, whatever
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import discard, map_rows, materialize, small_enough
+from gristmill.llm.common import column, map_rows, materialize, small_enough
 
 #: Ratios, scaled to integers, and the least distance that a fence keeps from its quartile.
 METRICS = {"word_len": 1500, "symbols": 800, "dup_lines": 5000, "repeats": 2000}
@@ -149,26 +149,33 @@ def fences(sketch: DataFrame, params: QualityParams) -> DataFrame:
     return merged
 
 
-def judge(docs: DataFrame, carry: list[str], params: QualityParams = QualityParams()) -> DataFrame:
-    """carry columns, the struct `__q` of features, `__failed` (base rules) and `__kept` (all rules)."""
+def _judged(docs: DataFrame, carry: list[str], params: QualityParams) -> DataFrame:
+    """carry columns as c0, c1, ..., and `__q`, `__failed`, `__kept`: no name of docs can clash."""
     spark = docs.sparkSession
+    need = list(dict.fromkeys([*carry, params.lang, params.source, params.text]))
+    name = {c: f"c{i}" for i, c in enumerate(need)}
+    docs = docs.select(*[column(c).alias(name[c]) for c in need])
+    params = replace(params, lang=name[params.lang], source=name[params.source], text=name[params.text])
     group = [params.lang, params.source]
     learned, _ = materialize(fences(sketches(with_features(docs, group, params), params), params), "fences")
-    need = list(dict.fromkeys([*carry, *group]))
-    rows = with_features(docs, need, params)
+    out = [name[c] for c in carry]
+    rows = with_features(docs, list(dict.fromkeys([*out, *group])), params)
     inside = " AND ".join(f"({v}) BETWEEN lo_{k} AND hi_{k}" for k, v in _metric_columns().items())
     side = F.broadcast(learned) if small_enough(learned) else learned  # else AQE splits hot sources
     joined = rows.join(
         side, (F.coalesce(rows[params.lang], F.lit("")) == F.col("g_lang")) & (F.coalesce(rows[params.source], F.lit("")) == F.col("g_source")), "left"
     )
-    return joined.select(
-        *[rows[c] for c in carry], rows["__q"], F.expr(_failed(params)).alias("__failed"), F.expr(f"NOT {_failed(params)} AND coalesce({inside}, true)").alias("__kept")
-    )
+    return joined.select(*out, "__q", F.expr(_failed(params)).alias("__failed"), F.expr(f"NOT {_failed(params)} AND coalesce({inside}, true)").alias("__kept"))
+
+
+def judge(docs: DataFrame, carry: list[str], params: QualityParams = QualityParams()) -> DataFrame:
+    """carry columns, the struct `__q` of features, `__failed` (base rules) and `__kept` (all rules)."""
+    return _judged(docs, carry, params).toDF(*carry, "__q", "__failed", "__kept")
 
 
 def quality_filter(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, docs.columns, params).where("__kept").select(*docs.columns)
+    return _judged(docs, docs.columns, params).where("__kept").drop("__q", "__failed", "__kept").toDF(*docs.columns)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

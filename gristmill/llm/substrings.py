@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import discard, map_rows, materialize
+from gristmill.llm.common import column, discard, map_rows, materialize
 
 LENGTH = 400
 KEYS = (192, 369, 397, 400)
@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], digest: bool, text: str =
         repeat_marks(docs, text, doc_id).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("ranges")), "ranges"
     )
     _clean(spark)
-    rows = docs.select(F.xxhash64(doc_id, text).alias("k1"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("k2"), F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.xxhash64(doc_id, text).alias("k1"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("k2"), F.struct(*map(column, carry)).alias("row"), F.col(text).alias("text"))
     joined = rows.join(marks, ["k1", "k2"], "left").select("row", "text", "ranges")
     schema = joined.select("row", F.expr("named_struct('n_bytes', 0L, 'n_removed', 0L, 'n_spans', 0L, 'kept', '')").alias("__r")).schema
 
@@ -404,9 +404,9 @@ def remove_repeats(docs: DataFrame, carry: list[str], digest: bool, text: str =
 def deduplicate_text(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with repeated passages cut out of their texts and n_chars, if there, counted anew. Null texts stay null."""
     done = remove_repeats(docs, docs.columns, False, text, doc_id)
-    kept = F.when(F.col(f"row.{text}").isNotNull(), F.col("__r.kept"))
-    column = {text: kept, "n_chars": F.length(kept).cast("long")} if "n_chars" in docs.columns else {text: kept}
-    return done.select(*[column.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    kept = F.when(F.col("row").getField(text).isNotNull(), F.col("__r.kept"))
+    changed = {text: kept, "n_chars": F.length(kept).cast("long")} if "n_chars" in docs.columns else {text: kept}
+    return done.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -222,6 +222,26 @@ def test_urls(spark):
     assert {r.verdict for r in urls.url_filter(spark.createDataFrame(mixed, "page_id long, url string")).where("page_id = 900").collect()} == {"block"}
 
 
+def test_extra_columns_with_clashing_names(spark, docs, rows):
+    """Names that operators use inside or return, and a name with a dot, change nothing and are carried."""
+    names = "g_lang g_source lo_symbols hi_repeats __q __failed __kept c0 c5 n_words kept fp rep class fingerprint component_id __gone row ranges __r start len words counts score code a.b kind place item_id".split()
+    crowded = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    plain = docs.columns
+    same = lambda f: Counter(map(repr, f(docs).collect())) == Counter(map(repr, f(crowded).collect()))
+    assert same(lambda d: quality.judge(d, ["doc_id"]))
+    assert same(simhash.near_duplicates)
+    assert same(lambda d: substrings.remove_repeats(d, ["doc_id"], True))
+    assert same(lambda d: bpe.encode_documents(d, with_ids=False)) and same(licenses.license_scan)
+    benchmark = spark.createDataFrame([(5, " ".join(rows[3][1].split()[30:70]))], "item_id long, text string")
+    stages = [quality.quality_filter, simhash.keep_one, substrings.deduplicate_text, lambda d: decontaminate.drop_contaminated(d, benchmark)]
+    for stage in stages:
+        out = stage(crowded)
+        assert out.columns == crowded.columns
+        got = out.toDF(*[f"x{i}" for i in range(len(out.columns))]).collect()
+        assert got and all(list(r)[len(plain):] == list(range(len(names))) for r in got)
+        assert Counter(repr(tuple(r)[: len(plain)]) for r in got) == Counter(repr(tuple(r)) for r in stage(docs).collect())
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_agrees_with_sql(spark, name):
