@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gristmill.llm.bpe import encode_documents
 from gristmill.llm.common import materialize
 from gristmill.llm.decontaminate import drop_contaminated
+from gristmill.llm.neardup import keep_one_alike
 from gristmill.llm.quality import quality_filter
-from gristmill.llm.simhash import keep_one
 from gristmill.llm.substrings import deduplicate_text
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    return keep_one(docs)
+    """One row of each group of near copies (five-word similarity of 0.8 or more): that with the smallest id."""
+    return keep_one_alike(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
