@@ -65,3 +65,13 @@ def test_one_row_of_each_group(spark, rows, monkeypatch, few):
     assert got.columns == df.columns
     assert Counter(r.doc_id for r in got.collect()) == brute(rows)
     assert corpus_pipeline.near_dedup(spark, df.where(F.lit(False)), "").count() == 0
+
+
+def test_repeated_rows_and_null_ids_keep_their_content_once(spark):
+    """Copies that share a doc_id or have none leave one row, so that the passage stage keeps the text."""
+    rng = random.Random(8)
+    one, two, three = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(120)) for _ in range(3))
+    df = spark.createDataFrame([(1, one, 0), (1, one, 0), (1, one, 1), (2, two, 0), (None, two, 0), (None, three, 0), (None, three, 0)], SCHEMA)
+    left = corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, one), (2, two), (0, three)])
+    assert sorted(r.text for r in corpus_pipeline.passage_dedup(spark, left, "").collect()) == sorted([one, two, three])
