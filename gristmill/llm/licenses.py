@@ -1,7 +1,10 @@
 """Licence scan by sentence rules (operator 9).
 
-Texts are cut into sentences, each normalised (lower case, everything but letters, digits and
-inner dots becomes one space) and looked up in a table of known licence sentences. The resulting
+Texts are cut into pieces at punctuation and line breaks, each normalised (lower case, everything
+but letters, digits and inner dots becomes one space, comment marks too). Pieces with one line
+break between and no punctuation before it are read on as one sentence, so wrapped sentences are
+found; the longest run of pieces that is a known licence sentence is one. Blank lines, those of
+comment marks alone too, end a sentence and count as none. The resulting
 sequence of identifiers is matched against ordered rules, the longest first; a rule's
 identifiers must follow each other in order with at most `gap` foreign sentences between two.
 A sentence serves one match. The tables are parameters of fixed size, so nothing that grows with
@@ -62,6 +65,8 @@ RULES = (
     ("cc0-notice", "CC0-1.0", ("cc0-notice",)),
 )
 _END = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
+_BREAK = re.compile(r"\r\n|\r|\n")
+_WORD = re.compile(r"[0-9a-z.]*[0-9a-z][0-9a-z.]*")
 _OTHER = re.compile(r"[^0-9a-z.]+")
 SCHEMA = "doc_id long, license string, rule string, first_sentence long, last_sentence long, start_char long, end_char long"
 
@@ -97,17 +102,47 @@ def sentences_of(text: str):
         yield at, len(text)
 
 
+def _wrapped(text: str, before: tuple[int, int], after: tuple[int, int]) -> bool:
+    """Whether a sentence may go on from one piece to the next: over one line break, without punctuation."""
+    return text[before[1] - 1] not in ".!?" and len(_BREAK.findall(text, before[1], after[0])) == 1
+
+
+def known_sentences(text: str, table: dict[str, str], starts: frozenset[str]) -> list[tuple[int, str, int, int]]:
+    """(sentence number, identifier, start, end) of each known sentence."""
+    pieces: list[tuple[int, int, str]] = []
+    joins: list[bool] = []  # with the piece before
+    last = None
+    for piece in sentences_of(text):
+        word = _WORD.search(text[piece[0] : piece[1]].lower())
+        if word:
+            joins.append(last is not None and _wrapped(text, last, piece))
+            pieces.append((*piece, word.group().strip(".")))
+        last = piece if word else None
+    found, number, i, fresh = [], -1, 0, True
+    while i < len(pieces):
+        best, name = 0, ""
+        if pieces[i][2] in starts:
+            sentence, j = "", i
+            while j < len(pieces) and (j == i or joins[j]):
+                sentence = f"{sentence} {normalise(text[pieces[j][0] : pieces[j][1]])}".lstrip()
+                j += 1
+                if sentence in table:
+                    best, name = j, table[sentence]
+                if not any(x.startswith(sentence + " ") for x in table):
+                    break
+        if best:
+            number += 1
+            found.append((number, name, pieces[i][0], pieces[best - 1][1]))
+            i, fresh = best, True
+        else:
+            number += fresh or not joins[i]
+            i, fresh = i + 1, False
+    return found
+
+
 def scan_text(text: str | None, known, rules, gap: int) -> list[tuple[str, str, int, int, int, int]]:
     """(license, rule, first and last sentence, start and end character) of each match in a text."""
-    table, starts = known
-    found: list[tuple[int, str, int, int]] = []
-    if text:
-        for i, (a, b) in enumerate(sentences_of(text)):
-            head = text[a : min(b, a + 24)].lower()
-            if any(head.lstrip(" \t(\"'*#/-").startswith(x) for x in starts):
-                name = table.get(normalise(text[a:b]))
-                if name:
-                    found.append((i, name, a, b))
+    found = known_sentences(text, *known) if text else []
     out, free = [], [True] * len(found)
     for rule, licence, ids in sorted(rules, key=lambda r: -len(r[2])):
         for first in range(len(found)):
