@@ -92,6 +92,56 @@ def lod_drill(spark, sf_dir):
     return retrieval.lod_drill(points, _questions(points, 1), "label", "file", "vec_id", 10)
 
 
+# The same searches with every row as a query whose id is divisible by 50. Those above keep a few queries.
+
+_TOP_50 = f"""SELECT q.vec_id AS qid, p.vec_id, {_COS.format(a="p.embedding", b="q.embedding")} AS score FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0 AND {{where}}"""
+
+
+def _all_questions(points):
+    return points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+@query(_RANKED.format(top=_TOP_50.format(where="true"), k=10))
+def dense_topk_all(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return retrieval.dense_topk(points, _all_questions(points), 10, "vec_id")
+
+
+@query(_RANKED.format(top=_TOP_50.format(where="p.label >= 3"), k=10))
+def filtered_topk_all(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return retrieval.dense_topk(points.where(retrieval.payload_filter({"label": 3})), _all_questions(points), 10, "vec_id")
+
+
+@query(_RANKED.format(top=_TOP_50.format(where="p.vec_id % 7 = 0"), k=5))
+def diff_restricted_topk_all(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    changed = points.where("vec_id % 7 = 0").select("vec_id")
+    return retrieval.dense_topk(points.join(changed, "vec_id", "left_semi"), _all_questions(points), 5, "vec_id")
+
+
+@query(f"""WITH h AS ({_RANKED.format(top=_TOP_50.format(where="true"), k=15)})
+SELECT vec_id, arg_min(score, qid) AS score, string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid) AS matched, min(qid) AS first_query, arg_min(rank, qid) AS first_rank
+FROM h GROUP BY vec_id""")
+def multi_query_merge_all(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    hits = retrieval.dense_topk(points, _all_questions(points), 15, "vec_id")
+    return retrieval.merge_hits(hits, "vec_id").withColumn("matched", F.concat_ws(",", F.transform("matched", lambda x: x.cast("string"))))
+
+
+@query(f"""WITH p AS (SELECT vec_id, embedding, label, vec_id % 10 AS file FROM embeddings), q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
+flat AS (SELECT label, file, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM p),
+m AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, round(avg(CAST(x AS DOUBLE)), 8) AS x FROM flat GROUP BY label, i) GROUP BY label),
+tm AS (SELECT qid, label FROM m, q QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_COS.format(a="m.v", b="q.v")} DESC, label) <= 3),
+f AS (SELECT label, file, list(x ORDER BY i) AS v FROM (SELECT label, file, i, round(avg(CAST(x AS DOUBLE)), 8) AS x FROM flat GROUP BY label, file, i) GROUP BY label, file),
+tf AS (SELECT qid, label, file FROM f JOIN tm USING (label) JOIN q USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_COS.format(a="f.v", b="q.v")} DESC, label, file) <= 5)
+SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT qid, vec_id, {_COS.format(a="p.embedding", b="q.v")} AS score FROM p JOIN tf USING (label, file) JOIN q USING (qid)) QUALIFY rank <= 10""")
+def lod_drill_all(spark, sf_dir):
+    points = _points(spark, sf_dir).withColumn("file", F.col("vec_id") % 10)
+    return retrieval.lod_drill(points, _all_questions(points), "label", "file", "vec_id", 10)
+
+
 # ---- chunks, ids, scalar functions -----------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as fn
 
-#: Query vectors that may be broadcast; more of them are searched in blocks.
+#: Query vectors that are broadcast at a time; more of them are searched in blocks.
 QUERY_BLOCK = 4096
 
 
@@ -61,11 +61,24 @@ def dot(a: Column, b: Column) -> Column:
 def dense_topk(points: DataFrame, queries: DataFrame, k: int, point_id: str, vector: str = "embedding", match: Column | None = None) -> DataFrame:
     """(qid, point id, score, rank): the k nearest points of every query, ties by id.
 
-    The stated queries (qid, qvec) are a bounded set and go to every task; each task keeps its
-    own k best of a query before anything is shuffled.
+    The stated queries (qid, qvec) go to every task in blocks of about QUERY_BLOCK; each task keeps
+    its own k best of a query before anything is shuffled. With more than one block, each block's
+    hits are written before the next is sent.
     """
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"search at most {QUERY_BLOCK} queries at once")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return _search_block(points, queries, k, point_id, vector, match)
+    from gristmill.llm.common import materialize
+
+    found = None
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        hits, _ = materialize(_search_block(points, block, k, point_id, vector, match), "hits")
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+def _search_block(points: DataFrame, queries: DataFrame, k: int, point_id: str, vector: str, match: Column | None) -> DataFrame:
     pairs = normalized(points, vector).join(F.broadcast(normalized(queries, "qvec")), match if match is not None else F.lit(True))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), point_id)
     return (
@@ -88,12 +101,14 @@ def mean_vectors(points: DataFrame, by: Sequence[str], vector: str = "embedding"
     return flat.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias(vector))
 
 
-def lod_drill(points: DataFrame, query: DataFrame, module: str, file: str, point_id: str, k: int, modules: int = 3, files: int = 5) -> DataFrame:
-    """Nearest modules, then their nearest files, then the nearest points of those, for one query vector."""
-    top_modules = dense_topk(mean_vectors(points, [module]), query, modules, module).select(module)
-    in_modules = points.join(top_modules, module, "left_semi")
-    top_files = dense_topk(mean_vectors(in_modules, [module, file]).withColumn("_f", F.struct(module, file)), query, files, "_f").select("_f.*")
-    return dense_topk(in_modules.join(top_files, [module, file], "left_semi"), query, k, point_id)
+def lod_drill(points: DataFrame, queries: DataFrame, module: str, file: str, point_id: str, k: int, modules: int = 3, files: int = 5) -> DataFrame:
+    """Nearest modules of each query vector, then their nearest files, then the nearest points of those."""
+    top_modules = dense_topk(mean_vectors(points, [module]), queries, modules, module)
+    in_modules = queries.join(top_modules.groupBy("qid").agg(F.collect_list(module).alias("_modules")), "qid")
+    means = mean_vectors(points, [module, file]).withColumn("_f", F.struct(module, file))
+    top_files = dense_topk(means, in_modules, files, "_f", match=F.array_contains("_modules", F.col(module)))
+    in_files = queries.join(top_files.groupBy("qid").agg(F.collect_list("_f").alias("_files")), "qid")
+    return dense_topk(points, in_files, k, point_id, match=F.array_contains("_files", F.struct(module, file)))
 
 
 def lexical_topk(chunks: DataFrame, score: Column, k: int, ties: Sequence[str]) -> DataFrame:
