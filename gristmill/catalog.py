@@ -580,6 +580,12 @@ def token_budget(spark, sf_dir):
     return retrieval.line_budget(table(spark, sf_dir, "documents").where(first.between(1, 400)), "doc_id", "text", 100)
 
 
+@query()
+def token_budget_all(spark, sf_dir):
+    """The budget on all documents, long and empty first lines too: tests hold it against brute force."""
+    return retrieval.line_budget(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
+
+
 @query("""WITH s AS (SELECT doc_id, round(0.1 + (doc_id * 37 % 100) / 200.0, 4) AS score, greatest(1, CAST(ceil(strlen(text) / 4.0) AS BIGINT)) AS tokens, source FROM documents),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM s ORDER BY place LIMIT 50), b AS (SELECT *, sum(tokens) OVER (ORDER BY place) AS spent FROM r)
 SELECT doc_id, score, tokens, place, CAST(spent AS BIGINT) AS spent FROM b WHERE spent <= 20000""")
