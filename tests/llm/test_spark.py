@@ -107,15 +107,15 @@ def brute_removed(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("index_bytes", [1_000_000, 300])  # the second takes every shared anchor down to whole strings
+@pytest.mark.parametrize("index_bytes", [1_000_000, 300, 40])  # the second takes every shared anchor down to whole strings
 def test_repeated_passages(docs, none, rows, monkeypatch, index_bytes):
-    monkeypatch.setattr(substrings, "INDEX_BYTES", index_bytes)
+    monkeypatch.setattr(substrings, "INDEX_SYMBOLS", index_bytes)
     texts = [(t or "").encode() for _, t, *_ in rows]
     want = []
     for (i, *_), t, gone in zip(rows, texts, brute_removed(texts)):
         spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
         want.append((i if i is not None else -1, len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
-    got = [(r.row.doc_id if r.row.doc_id is not None else -1, *r["__r"]) for r in substrings.remove_repeats(docs, ["doc_id"], True).collect()]
+    got = [(r.row.doc_id if r.row.doc_id is not None else -1, *r["__r"][:4]) for r in substrings.remove_repeats(docs, ["doc_id"], True).collect()]
     assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 1000
     if index_bytes == 1_000_000:
         assert substrings.remove_repeats(none, ["doc_id"], True).count() == 0
@@ -123,6 +123,27 @@ def test_repeated_passages(docs, none, rows, monkeypatch, index_bytes):
         assert cut.columns == docs.columns and cut.where("text IS NULL").count() == 1
 
 
+def brute_words(texts, length=51):
+    """Words of each text in repeated passages, and the texts without them."""
+    words = [t.split() for t in texts]
+    count = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    gone = [{j for i in range(len(w) - length + 1) if count[tuple(w[i : i + length])] > 1 for j in range(i, i + length)} for w in words]
+    return [len(g) for g in gone], [b" ".join(x for j, x in enumerate(w) if j not in g) for w, g in zip(words, gone)]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_repeated_passages_of_words(docs, none, rows, monkeypatch, most):
+    monkeypatch.setattr(substrings, "INDEX_SYMBOLS", most)
+    counts, left = brute_words([(t or "").encode() for _, t, *_ in rows])
+    got = substrings.remove_repeats(docs, ["doc_id"], True, also=substrings.WORDS).collect()
+    assert Counter((r.row.doc_id, r["__r"].n_also) for r in got) == Counter((i, n) for (i, *_), n in zip(rows, counts))
+    assert sum(counts) > 300
+    if most == 1_000_000:
+        cut = substrings.deduplicate_text(docs, p=substrings.WORDS)
+        assert Counter((r.doc_id, b" ".join((r.text or "").encode().split())) for r in cut.collect()) == Counter((i, x) for (i, *_), x in zip(rows, left))
+        assert substrings.deduplicate_text(none, p=substrings.WORDS).count() == 0
+
+
 def test_decontaminate(spark, docs, none, rows):
     item = " ".join(rows[3][1].split()[30:70])
     benchmark = spark.createDataFrame([(5, item), (6, None), (7, "not there at all in any text")], "item_id long, text string")

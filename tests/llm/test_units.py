@@ -61,22 +61,35 @@ def test_repeats(length):
             texts.append(base[a : a + rng.randint(0, 40)] + bytes(rng.choice(letters) for _ in range(rng.randint(0, 15))))
         count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         want = [[i for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1] for t in texts]
-        got = [[i for a, n in ranges for i in range(a, a + n)] for ranges in substrings.repeated_starts(texts, length)]
-        assert got == want
+        as_bytes = [np.frombuffer(t, np.uint8) for t in texts]
+        as_words = [substrings.symbols_of(b" ".join(bytes([x]) for x in t), True) for t in texts]
+        for symbols in (as_bytes, as_words):
+            got = [[i for a, n in ranges for i in range(a, a + n)] for ranges in substrings.repeated_starts(symbols, length)]
+            assert got == want
         for key in (length // 2 + 1, length):
-            seen, starts = {}, Counter()
-            for i, s, w, h, _ in zip(*substrings.AnchorRuns(key, length).runs(texts)):
-                for at in range(s, s + w):
-                    starts[i, at] += 1
-                    assert seen.setdefault(texts[i][at : at + length], h) == h
-            assert starts.total() == count.total() and set(starts.values()) <= {1}
+            for symbols in (as_bytes, as_words):
+                seen, starts = {}, Counter()
+                for i, s, w, h, _ in zip(*substrings.AnchorRuns(key, length).runs(symbols)):
+                    for at in range(s, s + w):
+                        starts[i, at] += 1
+                        assert seen.setdefault(texts[i][at : at + length], h) == h
+                assert starts.total() == count.total() and set(starts.values()) <= {1}
 
 
 def test_index_is_run_compressed():
-    index = substrings.RunLengthIndex([b"abcdefgh" * 40] * 5)
+    index = substrings.RunLengthIndex([np.frombuffer(b"abcdefgh" * 40, np.uint8)] * 5)
     assert index.run_lengths.sum() == index.n and len(index.symbols) < index.n / 10
 
 
+def test_words_of_long_texts(monkeypatch):
+    raw = " ".join(f"wört{i}\n" for i in range(300)).encode() + b"\x85\t" + b"x" * 90
+    whole = substrings.symbols_of(raw, True)
+    monkeypatch.setattr(substrings, "PIECE", 64)
+    assert (substrings.symbols_of(raw, True) == whole).all() and len(whole) == len(raw.split())
+    assert [raw[a:b] for a, b in substrings.word_bytes(raw, [(0, 1), (2, 4)])] == ["wört0".encode(), "wört2\n wört3".encode()]
+    assert substrings.word_bytes(raw, []) == [] and len(substrings.symbols_of(b"", True)) == 0
+
+
 def test_cover():
     assert substrings.cover([(5, 5), (0, 3), (3, 2), (20, 10)], 25) == [(0, 10), (20, 25)]
 
