@@ -9,7 +9,7 @@ from gristmill.llm.common import materialize
 from gristmill.llm.decontaminate import drop_contaminated
 from gristmill.llm.neardup import keep_one_alike
 from gristmill.llm.quality import quality_filter
-from gristmill.llm.substrings import deduplicate_text
+from gristmill.llm.substrings import WORDS, deduplicate_text
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without passages that repeat."""
-    return deduplicate_text(docs)
+    """The same documents without passages of over fifty words that repeat."""
+    return deduplicate_text(docs, p=WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
