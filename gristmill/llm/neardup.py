@@ -1,53 +1,52 @@
-"""Near copies by exact similarity of five-word shingles: the pipeline's near-dedup stage.
+"""Near copies by SimHash and exact similarity of five-word shingles: operator 6 as a pipeline stage.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of at
 least 4/5; groups are the connected components of that relation, and one row of each stays: that
 with the smallest doc_id (null ones last), then the smallest row number.
 
-Candidates come from prefixes: in any order common to all texts, two sets of that similarity share
-a shingle among the first n - ceil(4n/5) + 1 of each, so no pair is lost. The order puts shingles
-of small counts first, by a sketch of fixed size; a wrong count costs time and nothing else.
-Candidates are verified on the whole sets. Equal sets count once.
+Candidates come first from the multi-index over five-word fingerprints. At a similarity of 4/5
+fingerprints differ by some ten bits of 64, beyond any ball that can be enumerated, so a second
+source completes them: of each set the SAMPLE shingles of least hash are posted, the rarest of
+them first. Two sets of that similarity share LEAST or more of their samples but for one pair in
+a million (a binomial of SAMPLE and 4/5), so they share one among the first SAMPLE - LEAST + 1 of
+each; sets that are not larger than a sample are posted by their exact bound, which loses
+nothing. Passages that very many texts share are among the last and give no candidates. All
+candidates are verified on whole sets. Equal sets count once.
 
-A shingle's texts give all their pairs only where they are few. Larger buckets are compared hub by
-hub in rounds, and a bucket is done once its texts are of one component: a large group of near
-copies takes one hub, not all pairs. Pairs of different components are always compared.
+Skew: a shingle's texts never give all their pairs. Every bucket is first compared with one of
+its texts, which joins a large group of copies; a bucket is done once its texts are of one
+component. Small ones that are left give the pairs of different components; in large ones
+ever more texts of the minority are compared with the rest, until it is done.
 
 Defined cases: fewer than five words are one shingle; null and blank texts have no shingle and are
-copies of each other; repeated rows are copies; an empty table gives an empty result.
+copies of each other; repeated rows are copies; very long texts give a sample of the same size;
+extra columns are carried whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import column, connected_components, discard, map_rows, materialize
+from gristmill.llm.common import column, connected_components, discard, map_rows, materialize, small_enough
+from gristmill.llm.simhash import majority, near_links, shingle_hashes
 
 WORDS = 5
 #: Least similarity, as a fraction.
 NUM, DEN = 4, 5
-SEED = 42
-#: Counters of the sketch, and the tables it is summed in.
-COUNTERS, PARTS = 1 << 20, 16
-#: Texts of a shingle that give all their pairs at once.
+SAMPLE, LEAST = 64, 36
+#: Texts of a shingle that give the pairs of different components at once.
 FEW = 16
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)]
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype(np.uint64))
+    return np.unique(shingle_hashes(text, WORDS).astype(np.uint64))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -55,151 +54,139 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def _fits(n, i, m, j):
-    """Whether texts of n and m shingles can be alike if i and j are the places of the first shared one."""
-    return (DEN * min(n, m) >= NUM * max(n, m)) and ((NUM + DEN) * min(n - i, m - j) >= NUM * (n + m))
-
-
-def shingle_classes(texts: DataFrame) -> bytes:
-    """For each counter of the sketch, the binary logarithm of its count of texts."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            found = [shingles(x) for x in batch.column(0).to_pylist()]
-            if found:
-                total += np.bincount((np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        for i, part in enumerate(np.array_split(total, PARTS)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], names=["part", "data"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                sums[part] = sums.get(part, 0) + np.frombuffer(data, np.int64)
-        for part, x in sums.items():
-            log = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([log.tobytes()])], names=["part", "data"])
-
-    kind = "part int, data binary"
-    rows = texts.mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(add, kind).collect()  # fixed size
-    found = {r.part: bytes(r.data) for r in rows}
-    return b"".join(found[i] for i in range(PARTS)) if found else bytes(COUNTERS)
-
-
-def prefixes(texts: DataFrame, classes) -> DataFrame:
-    """(row, id, sig, n, prefix) of every text: digest and size of its set, and the set's first shingles in the common order."""
+def summaries(texts: DataFrame) -> DataFrame:
+    """(row, id, sig, n, fp, sample) of every text: digest, size, fingerprint and sample of its shingles."""
 
     def make():
-        level = np.frombuffer(classes.value, np.uint8)
-
         def step(batch: pa.RecordBatch):
-            sigs, sizes, firsts = [], [], []
+            sigs, sizes, prints, samples = [], [], [], []
             for text in batch.column(2).to_pylist():
-                s = shingles(text)
-                n = len(s)
-                ordered = s[np.argsort(level[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")]
-                sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(n)
-                firsts.append(ordered[: n - -(-NUM * n // DEN) + 1].view(np.int64))
+                every = shingle_hashes(text, WORDS)
+                distinct = np.unique(every.astype(np.uint64))
+                sigs.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+                sizes.append(len(distinct))
+                prints.append(majority(every))
+                samples.append(distinct[:SAMPLE].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["row", "id", "sig", "n", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))],
+                names=["row", "id", "sig", "n", "fp", "sample"],
             )
 
         return step
 
-    return map_rows(texts, "row long, id long, sig binary, n int, prefix array<long>", make)
+    return map_rows(texts, "row long, id long, sig binary, n int, fp long, sample array<long>", make)
+
+
+def postings(sets: DataFrame) -> DataFrame:
+    """(key, row, n): the sets under the rarest shingles of their samples, where more than one set has the shingle."""
+    spark = sets.sparkSession
+    entries, path = materialize(sets.select("row", "n", F.explode("sample").alias("key")), "entries")
+    common, common_path = materialize(entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    shared = entries.join(common, "key")
+    one = Window.partitionBy("row")  # a sample at most
+    taken = F.least("n", F.lit(SAMPLE))
+    first = F.when(F.col("n") <= SAMPLE, F.expr(f"n - ((n * {NUM} + {DEN - 1}) div {DEN}) + 1")).otherwise(SAMPLE - LEAST + 1)
+    ranked = shared.withColumns({"place": F.row_number().over(one.orderBy("df", "key")), "shared": F.count("*").over(one)})
+    posts, _ = materialize(ranked.where(F.col("place") + taken - F.col("shared") <= first).select("key", "row", "n"), "posts")
+    discard(spark, path, common_path)
+    return posts
+
+
+def candidates(members: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """One round over buckets (key, row, n, comp): pairs (a, b) to verify, and the texts (key, row, n) still to compare.
+
+    hubs 0: every bucket is compared with one text. Else small buckets give their pairs, and about
+    that many texts of the others' minority are compared with the rest.
+    """
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("row").alias("row"))
+    stats = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"), F.min("row").alias("least")).where("comps > 1")
+    stats, stats_path = materialize(stats.select("key", "size", F.col("most.comp").alias("most"), "least"), "buckets")
+    live, live_path = materialize(members.join(stats, "key"), "live")
+    fits = lambda x, y: DEN * F.least(x, y) >= NUM * F.greatest(x, y)
+    minority = F.col("comp") != F.col("most")
+    if hubs:
+        few = live.where(F.col("size") <= FEW).groupBy("key").agg(F.collect_list(F.struct("row", "n", "comp")).alias("xs"))
+        pairs = few.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y")).where("x.row < y.row AND x.comp != y.comp")
+        pairs = pairs.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+        many = live.where(F.col("size") > FEW)
+        lowest = many.where(minority).groupBy("key").agg(F.min("row").alias("lowest"))
+        drawn = F.pmod(F.xxhash64("row", F.lit(hubs)), F.col("size")) < hubs
+        chosen = many.join(lowest, "key").where(minority & (drawn | (F.col("row") == F.col("lowest"))))
+    else:
+        many, pairs = live, None
+        chosen = live.where(F.col("row") == F.col("least"))
+    chosen, chosen_path = materialize(chosen.select("key", F.col("row").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), "hubs")
+    starred = many.join(chosen, "key").where("comp != hub_comp").where(fits(F.col("n"), F.col("hub_n"))).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
+    pairs, _ = materialize((starred if pairs is None else pairs.union(starred)).distinct(), "pairs")
+    gone = chosen.select("key", F.col("hub").alias("row"))
+    rest, rest_path = materialize(many.select("key", "row", "n").join(gone, ["key", "row"], "left_anti"), "open")
+    discard(members.sparkSession, stats_path, live_path, chosen_path)
+    return pairs, rest, [rest_path]
 
 
-def few_pairs(buckets: DataFrame) -> DataFrame:
-    """Candidates (a, b) of shingles with few texts."""
-    pairs = buckets.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y")).where("x.row < y.row")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits = (DEN * small >= NUM * large) & ((NUM + DEN) * left >= NUM * (small + large))
-    return pairs.where(fits).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
-
-
-def hub_round(members: DataFrame, hubs: int) -> DataFrame:
-    """One round over large buckets (key, row, n, pos, comp): candidates (a, b), and the texts (key, row, n, pos) still to compare."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike; each text that is needed is read and hashed once."""
+    spark = texts.sparkSession
+    need, need_path = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "need")
+    few = small_enough(need)
 
-    def make():
+    def digest():
         def step(batch: pa.RecordBatch):
-            keys, rows, ns, ps, aa, bb = [], [], [], [], [], []
-            for key, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size = Counter(x["comp"] for x in xs)
-                most = max(size, key=lambda c: (size[c], -c))
-                xs.sort(key=lambda x: (x["comp"] == most, size[x["comp"]], x["row"]))
-                chosen = min(hubs, len(xs) - size[most])
-                for i, h in enumerate(xs[:chosen]):
-                    for x in xs[i + 1 :]:
-                        if x["comp"] != h["comp"] and _fits(h["n"], h["pos"], x["n"], x["pos"]):
-                            aa.append(min(h["row"], x["row"]))
-                            bb.append(max(h["row"], x["row"]))
-                rest = xs[chosen:]
-                if len({x["comp"] for x in rest}) > 1:
-                    keys += [key] * len(rest)
-                    rows += [x["row"] for x in rest]
-                    ns += [x["n"] for x in rest]
-                    ps += [x["pos"] for x in rest]
-            none = lambda k: [None] * k
-            columns = [keys + none(len(aa)), rows + none(len(aa)), ns + none(len(aa)), ps + none(len(aa)), none(len(keys)) + aa, none(len(keys)) + bb]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "row", "n", "pos", "a", "b"])
+            sets = [shingles(x).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "hashes"])
 
         return step
 
-    grouped = members.groupBy("key").agg(F.collect_list(F.struct("row", "n", "pos", "comp")).alias("xs"))
-    return map_rows(grouped, "key long, row long, n int, pos int, a long, b long", make)
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike."""
+    wanted = texts.select("row", "text").join(F.broadcast(need) if few else need, "row")
+    sets, sets_path = materialize(map_rows(wanted, "row long, hashes binary", digest), "sets")
 
     def make():
-        sets = lru_cache(64)(shingles)
+        of = lru_cache(16)(lambda x: np.frombuffer(x, np.uint64))
 
         def step(batch: pa.RecordBatch):
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            good = [(a, b) for a, b, x, y in zip(*columns) if alike(sets(x), sets(y))]
+            good = [(a, b) for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))) if alike(of(x), of(y))]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         return step
 
-    one = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
-    return map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), "a long, b long", make)
+    one, two = (sets.select(F.col("row").alias(r), F.col("hashes").alias(h)) for r, h in (("a", "x"), ("b", "y")))
+    good, _ = materialize(map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), "a long, b long", make), "alike")
+    discard(spark, need_path, sets_path)
+    return good
 
 
 def near_groups(texts: DataFrame) -> DataFrame:
     """(row, id, root) of each of texts (row, id, text), a written table with distinct rows; root is common to a group."""
     spark = texts.sparkSession
-    classes = spark.sparkContext.broadcast(shingle_classes(texts.select("text")))
-    known, _ = materialize(prefixes(texts.select("row", "id", "text"), classes), "prefixes")
-    sets, sets_path = materialize(known.groupBy("sig").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-    posted = sets.select("row", "n", F.posexplode("prefix").alias("pos", "key"))
-    buckets = posted.groupBy("key").agg(F.collect_list(F.struct("row", "n", "pos")).alias("xs")).where(F.size("xs") > 1)
-    buckets, buckets_path = materialize(buckets, "buckets")
-    edges, _ = materialize(verified(few_pairs(buckets.where(F.size("xs") <= FEW)), texts), "alike")
-    opened, opened_path = materialize(buckets.where(F.size("xs") > FEW).select("key", F.explode("xs").alias("x")).select("key", "x.*"), "open")
-    discard(spark, buckets_path)
-    roots, hubs = connected_components(edges)[0], 1
+    known, _ = materialize(summaries(texts.select("row", "id", "text")), "summaries")
+    first = F.min(F.struct("row", "n", "fp", "sample")).alias("x")
+    sets, sets_path = materialize(known.groupBy("sig").agg(first).select("sig", "x.*"), "sets")
+    known = known.select("row", "id", "sig")
+    prints, prints_path = materialize(sets.where("n > 0").groupBy("fp").agg(F.min("row").alias("rep")), "prints")
+    same = sets.where("n > 0").join(prints, "fp").where("row != rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    pairs, pairs_path = materialize(near_links(prints).union(same).distinct(), "pairs")
+    edges = verified(pairs, texts)
+    roots, paths = connected_components(edges)
+    opened, hubs, trash = postings(sets), 0, [prints_path, pairs_path]
     while not opened.isEmpty():
-        members = opened.join(roots, opened["row"] == roots["node"], "left").select("key", "row", "n", "pos", F.coalesce("root", "row").alias("comp"))
-        done, done_path = materialize(hub_round(members, hubs), "round")
-        more, _ = materialize(verified(done.where("a IS NOT NULL").select("a", "b").distinct(), texts), "alike")
-        edges, hubs = edges.union(more), 2 * hubs
-        roots = connected_components(edges)[0]
-        opened, old = done.where("key IS NOT NULL").select("key", "row", "n", "pos"), opened_path
-        discard(spark, old)
-        opened_path = done_path
-    discard(spark, opened_path)
+        members, members_path = materialize(
+            opened.join(roots, opened["row"] == roots["node"], "left").select("key", "row", "n", F.coalesce("root", "row").alias("comp")), "members"
+        )
+        pairs, opened, more = candidates(members, hubs)
+        discard(spark, members_path, *trash)
+        trash = more
+        if not pairs.isEmpty():
+            found = verified(pairs, texts)
+            if not found.isEmpty():
+                edges = edges.union(found)
+                discard(spark, *paths)
+                roots, paths = connected_components(edges)
+        hubs = max(1, 2 * hubs)
     of_set, _ = materialize(
         sets.select("sig", "row").join(roots, sets["row"] == roots["node"], "left").select("sig", F.coalesce("root", "row").alias("root")), "roots"
     )
-    discard(spark, sets_path)
-    return known.select("row", "id", "sig").join(of_set, "sig").select("row", "id", "root")
+    discard(spark, sets_path, *paths, *trash)
+    return known.join(of_set, "sig").select("row", "id", "root")
 
 
 def keep_one_alike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -211,6 +198,5 @@ def keep_one_alike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = numbered.select(F.col(number).alias("row"), column(doc_id).cast("long").alias("id"), column(text).alias("text"))
     groups, _ = materialize(near_groups(texts), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("kept"))
-    gone = groups.join(first, "root").where("row != kept.row").select(F.col("row").alias("__gone"))
-    gone, _ = materialize(gone, "gone")
-    return numbered.join(gone, numbered[number] == gone["__gone"], "left_anti").drop(number)
+    kept, _ = materialize(first.select(F.col("kept.row").alias("__kept")), "kept")
+    return numbered.join(F.broadcast(kept) if small_enough(kept) else kept, numbered[number] == kept["__kept"], "left_semi").drop(number)
