@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,10 +25,12 @@ def column(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all run on one machine."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         folder = tempfile.TemporaryDirectory(prefix="gristmill-")
         atexit.register(folder.cleanup)
@@ -56,6 +59,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Small Arrow batches, as rows hold whole texts: a task then holds a few MB of them at a time."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):

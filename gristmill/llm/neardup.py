@@ -7,11 +7,12 @@ with the smallest doc_id (null ones last), then the smallest row number.
 Candidates come first from the multi-index over five-word fingerprints. At a similarity of 4/5
 fingerprints differ by some ten bits of 64, beyond any ball that can be enumerated, so a second
 source completes them: of each set the SAMPLE shingles of least hash are posted, the rarest of
-them first. Two sets of that similarity share LEAST or more of their samples but for one pair in
-a million (a binomial of SAMPLE and 4/5), so they share one among the first SAMPLE - LEAST + 1 of
-each; sets that are not larger than a sample are posted by their exact bound, which loses
-nothing. Passages that very many texts share are among the last and give no candidates. All
-candidates are verified on whole sets. Equal sets count once.
+them first. Sets of up to EXACT shingles are posted by their exact bound, which loses nothing. Of
+larger sets, two of that similarity share a hypergeometric number of their samples, and all but
+one pair in a million have at most five standard deviations less than its mean; they share a
+shingle among the first that this leaves to each. The places of a pair's first shared shingle bound
+its similarity in the same way, before anything is compared. Passages that very many texts share are among
+the last and give no candidates. All candidates are verified on whole sets. Equal sets count once.
 
 Skew: a shingle's texts never give all their pairs. Every bucket is first compared with one of
 its texts, which joins a large group of copies; a bucket is done once its texts are of one
@@ -33,15 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import column, connected_components, discard, map_rows, materialize, small_enough
+from gristmill.llm.common import column, connected_components, discard, map_rows, materialize, release, small_enough
 from gristmill.llm.simhash import majority, near_links, shingle_hashes
 
 WORDS = 5
 #: Least similarity, as a fraction.
 NUM, DEN = 4, 5
-SAMPLE, LEAST = 64, 36
+SAMPLE = 192
+#: Sets so small that all that are alike have their whole set as sample.
+EXACT = SAMPLE * NUM // DEN
 #: Texts of a shingle that give the pairs of different components at once.
-FEW = 16
+FEW = 32
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -78,54 +81,78 @@ def summaries(texts: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(key, row, n): the sets under the rarest shingles of their samples, where more than one set has the shingle."""
+    """(key, row, x): the sets under the rarest shingles of their samples, where more than one set has the shingle.
+
+    x is a struct of n, the shingle's place pos and the sample's largest hash.
+    """
     spark = sets.sparkSession
-    entries, path = materialize(sets.select("row", "n", F.explode("sample").alias("key")), "entries")
+    top = F.when(F.col("n") > SAMPLE, F.shiftrightunsigned(F.element_at("sample", -1), 1)).otherwise((1 << 63) - 1)
+    entries = sets.select("row", "n", top.alias("top"), F.explode("sample").alias("key"))
     common, common_path = materialize(entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    shared = entries.join(common, "key")
     one = Window.partitionBy("row")  # a sample at most
+    share = NUM / DEN
+    spread = f"sqrt({SAMPLE * share * (1 - share)} * greatest(0, n / {share} - {SAMPLE}) / (n / {share} - 1))"
+    least = F.expr(f"CASE WHEN n <= {EXACT} THEN (n * {NUM} + {DEN - 1}) div {DEN} ELSE CAST(least({share} * least(n, {SAMPLE}), {share * SAMPLE} - 5 * {spread}) AS INT) END")
     taken = F.least("n", F.lit(SAMPLE))
-    first = F.when(F.col("n") <= SAMPLE, F.expr(f"n - ((n * {NUM} + {DEN - 1}) div {DEN}) + 1")).otherwise(SAMPLE - LEAST + 1)
-    ranked = shared.withColumns({"place": F.row_number().over(one.orderBy("df", "key")), "shared": F.count("*").over(one)})
-    posts, _ = materialize(ranked.where(F.col("place") + taken - F.col("shared") <= first).select("key", "row", "n"), "posts")
-    discard(spark, path, common_path)
+    # shingles of one set alone are the rarest, and need no posting
+    ranked = entries.join(common, "key").withColumn("pos", F.row_number().over(one.orderBy("df", "key")) - F.count("*").over(one) + taken - 1)
+    posts, _ = materialize(ranked.where(F.col("pos") <= taken - least).select("key", "row", F.struct("n", F.col("pos").cast("int").alias("pos"), "top").alias("x")), "posts")
+    discard(spark, common_path)
     return posts
 
 
+def _fits(x: str, y: str):
+    """Whether the sets of two postings can be alike, if the postings are the first that they share.
+
+    Of whole sets the places bound what is shared. Of samples, all shared shingles of the one with
+    the lower largest hash are in the other, so those before the first are not shared, and no more
+    are to be expected than its share of the set's other shingles and five standard deviations.
+    """
+    out = f"({NUM}D / {NUM + DEN} * ({x}.n + {y}.n))"  # least number of shared shingles
+    side = lambda z: f"""{z}.pos <= least({z}.n, {SAMPLE}) * ({z}.n - {out}) / {z}.n + 5 * sqrt(greatest(0,
+        least({z}.n, {SAMPLE}) * ({z}.n - {out}) / {z}.n * {out} / {z}.n * ({z}.n - least({z}.n, {SAMPLE})) / greatest({z}.n - 1, 1)))"""
+    whole = f"{NUM + DEN} * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {NUM} * ({x}.n + {y}.n)"
+    return F.expr(
+        f"""{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n) AND CASE WHEN greatest({x}.n, {y}.n) <= {SAMPLE} THEN {whole}
+        WHEN {x}.top <= {y}.top THEN {side(x)} ELSE {side(y)} END"""
+    )
+
+
 def candidates(members: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """One round over buckets (key, row, n, comp): pairs (a, b) to verify, and the texts (key, row, n) still to compare.
+    """One round over buckets (key, row, x, comp): pairs (a, b) to verify, and the texts (key, row, x) still to compare.
 
-    hubs 0: every bucket is compared with one text. Else small buckets give their pairs, and about
+    hubs 0: every bucket is compared with one text, that with the fewest rarer shingles, which the
+    texts of a group of near copies are most like. Else small buckets give their pairs, and about
     that many texts of the others' minority are compared with the rest.
     """
-    per = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("row").alias("row"))
-    stats = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"), F.min("row").alias("least")).where("comps > 1")
-    stats, stats_path = materialize(stats.select("key", "size", F.col("most.comp").alias("most"), "least"), "buckets")
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct("x.pos", "row")).alias("first"))
+    stats = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"), F.min("first").alias("first")).where("comps > 1")
+    stats, stats_path = materialize(stats.select("key", "size", F.col("most.comp").alias("most"), F.col("first.row").alias("first")), "buckets")
     live, live_path = materialize(members.join(stats, "key"), "live")
-    fits = lambda x, y: DEN * F.least(x, y) >= NUM * F.greatest(x, y)
     minority = F.col("comp") != F.col("most")
     if hubs:
-        few = live.where(F.col("size") <= FEW).groupBy("key").agg(F.collect_list(F.struct("row", "n", "comp")).alias("xs"))
-        pairs = few.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y")).where("x.row < y.row AND x.comp != y.comp")
-        pairs = pairs.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+        few = live.where(F.col("size") <= FEW).groupBy("key").agg(F.collect_list(F.struct("row", "x", "comp")).alias("xs"))
+        pairs = few.select("xs", F.explode("xs").alias("p")).select("p", F.explode("xs").alias("q")).where("p.row < q.row AND p.comp != q.comp")
+        pairs = pairs.where(_fits("p.x", "q.x")).select(F.col("p.row").alias("a"), F.col("q.row").alias("b"))
         many = live.where(F.col("size") > FEW)
-        lowest = many.where(minority).groupBy("key").agg(F.min("row").alias("lowest"))
+        central = many.where(minority).groupBy("key").agg(F.min(F.struct("x.pos", "row")).alias("next"))
         drawn = F.pmod(F.xxhash64("row", F.lit(hubs)), F.col("size")) < hubs
-        chosen = many.join(lowest, "key").where(minority & (drawn | (F.col("row") == F.col("lowest"))))
+        chosen = many.join(central, "key").where(minority & (drawn | (F.col("row") == F.col("next.row"))))
     else:
         many, pairs = live, None
-        chosen = live.where(F.col("row") == F.col("least"))
-    chosen, chosen_path = materialize(chosen.select("key", F.col("row").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), "hubs")
-    starred = many.join(chosen, "key").where("comp != hub_comp").where(fits(F.col("n"), F.col("hub_n"))).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
-    pairs, _ = materialize((starred if pairs is None else pairs.union(starred)).distinct(), "pairs")
+        chosen = live.where(F.col("row") == F.col("first"))
+    chosen, chosen_path = materialize(chosen.select("key", F.col("row").alias("hub"), F.col("x").alias("hub_x"), F.col("comp").alias("hub_comp")), "hubs")
+    starred = many.join(chosen, "key").where((F.col("comp") != F.col("hub_comp")) & _fits("x", "hub_x"))
+    starred = starred.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
+    pairs, pairs_path = materialize((starred if pairs is None else pairs.union(starred)).distinct(), "pairs")
     gone = chosen.select("key", F.col("hub").alias("row"))
-    rest, rest_path = materialize(many.select("key", "row", "n").join(gone, ["key", "row"], "left_anti"), "open")
+    rest, rest_path = materialize(many.select("key", "row", "x").join(gone, ["key", "row"], "left_anti"), "open")
     discard(members.sparkSession, stats_path, live_path, chosen_path)
-    return pairs, rest, [rest_path]
+    return pairs, rest, [pairs_path, rest_path]
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike; each text that is needed is read and hashed once."""
+def verified(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs (a, b) whose texts are alike; each text that is needed is read and hashed once. Also the table that holds them."""
     spark = texts.sparkSession
     need, need_path = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "need")
     few = small_enough(need)
@@ -150,53 +177,59 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return step
 
     one, two = (sets.select(F.col("row").alias(r), F.col("hashes").alias(h)) for r, h in (("a", "x"), ("b", "y")))
-    good, _ = materialize(map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), "a long, b long", make), "alike")
+    good, path = materialize(map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), "a long, b long", make), "alike")
     discard(spark, need_path, sets_path)
-    return good
+    return good, path
 
 
-def near_groups(texts: DataFrame) -> DataFrame:
-    """(row, id, root) of each of texts (row, id, text), a written table with distinct rows; root is common to a group."""
+def near_groups(texts: DataFrame) -> tuple[DataFrame, str]:
+    """(row, id, root) of each of texts (row, id, text), a written table with distinct rows; root is common to a group. Also their table."""
     spark = texts.sparkSession
-    known, _ = materialize(summaries(texts.select("row", "id", "text")), "summaries")
+    known, known_path = materialize(summaries(texts.select("row", "id", "text")), "summaries")
     first = F.min(F.struct("row", "n", "fp", "sample")).alias("x")
     sets, sets_path = materialize(known.groupBy("sig").agg(first).select("sig", "x.*"), "sets")
-    known = known.select("row", "id", "sig")
     prints, prints_path = materialize(sets.where("n > 0").groupBy("fp").agg(F.min("row").alias("rep")), "prints")
     same = sets.where("n > 0").join(prints, "fp").where("row != rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
-    pairs, pairs_path = materialize(near_links(prints).union(same).distinct(), "pairs")
-    edges = verified(pairs, texts)
+    links, links_path = near_links(prints)
+    pairs, pairs_path = materialize(links.union(same).distinct(), "pairs")
+    edges, edge_path = verified(pairs, texts)
     roots, paths = connected_components(edges)
-    opened, hubs, trash = postings(sets), 0, [prints_path, pairs_path]
+    opened, hubs, trash, kept = postings(sets), 0, [prints_path, links_path, pairs_path], [edge_path]
+    release(spark)
     while not opened.isEmpty():
         members, members_path = materialize(
-            opened.join(roots, opened["row"] == roots["node"], "left").select("key", "row", "n", F.coalesce("root", "row").alias("comp")), "members"
+            opened.join(roots, opened["row"] == roots["node"], "left").select("key", "row", "x", F.coalesce("root", "row").alias("comp")), "members"
         )
         pairs, opened, more = candidates(members, hubs)
         discard(spark, members_path, *trash)
         trash = more
         if not pairs.isEmpty():
-            found = verified(pairs, texts)
+            found, path = verified(pairs, texts)
+            kept.append(path)
             if not found.isEmpty():
                 edges = edges.union(found)
                 discard(spark, *paths)
                 roots, paths = connected_components(edges)
-        hubs = max(1, 2 * hubs)
-    of_set, _ = materialize(
+        release(spark)
+        hubs = 4 * hubs or 4
+    of_set, of_set_path = materialize(
         sets.select("sig", "row").join(roots, sets["row"] == roots["node"], "left").select("sig", F.coalesce("root", "row").alias("root")), "roots"
     )
-    discard(spark, sets_path, *paths, *trash)
-    return known.join(of_set, "sig").select("row", "id", "root")
+    groups, path = materialize(known.select("row", "id", "sig").join(of_set, "sig").select("row", "id", "root"), "groups")
+    discard(spark, known_path, sets_path, of_set_path, *paths, *trash, *kept)
+    return groups, path
 
 
 def keep_one_alike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group of near copies."""
-    number = "__number"
+    spark, number = docs.sparkSession, "__number"
     while number in docs.columns:
         number += "_"
     numbered, _ = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col(number).alias("row"), column(doc_id).cast("long").alias("id"), column(text).alias("text"))
-    groups, _ = materialize(near_groups(texts), "groups")
+    groups, path = near_groups(texts)
     first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("kept"))
     kept, _ = materialize(first.select(F.col("kept.row").alias("__kept")), "kept")
+    discard(spark, path)
+    release(spark)
     return numbered.join(F.broadcast(kept) if small_enough(kept) else kept, numbered[number] == kept["__kept"], "left_semi").drop(number)

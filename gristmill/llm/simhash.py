@@ -91,8 +91,8 @@ def _ball_links(reps: DataFrame) -> DataFrame:
     return hub.select("m", F.explode("xs").alias("x")).select(F.col("x.rep").alias("a"), F.col("x.fp").alias("fa"), F.col("m.rep").alias("b"), F.col("m.fp").alias("fb"))
 
 
-def near_links(reps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within RADIUS, from (fp, rep) with distinct fp."""
+def near_links(reps: DataFrame) -> tuple[DataFrame, str]:
+    """Links (a, b) that connect all fingerprints within RADIUS, from (fp, rep) with distinct fp; and their table."""
     spark, low = reps.sparkSession, (1 << SEGMENT) - 1
     segment = lambda fp, i: F.shiftrightunsigned(fp, SEGMENT) if i else fp.bitwiseAND(F.lit(low))
     key = lambda fp, i: (segment(fp, i) * 2 + i).alias("key")
@@ -112,9 +112,9 @@ def near_links(reps: DataFrame) -> DataFrame:
         crowd, crowd_path = materialize(probes.join(hot, "key", "left_semi").select("fp", "rep").distinct(), "crowd")
         found = found.union(_ball_links(crowd))
     near = found.where("a != b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
-    links, _ = materialize(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links, path = materialize(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     discard(spark, table_path, hot_path, *([crowd_path] if any_hot else []))
-    return links
+    return links, path
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -122,11 +122,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     fps, _ = materialize(fingerprints(docs, text, doc_id), "fingerprints")
     reps, reps_path = materialize(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots, roots_paths = connected_components(near_links(reps))
+    links, links_path = near_links(reps)
+    roots, roots_paths = connected_components(links)
     classes, _ = materialize(
         reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("class")), "classes"
     )
-    discard(spark, reps_path, *roots_paths)
+    discard(spark, reps_path, links_path, *roots_paths)
     known = fps.join(classes, "fp", "left")
     return known.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("component_id"))
 

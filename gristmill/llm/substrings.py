@@ -27,7 +27,6 @@ a UTF-8 character leaves bytes that the text form drops.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import column, discard, map_rows, materialize
+from gristmill.llm.common import column, discard, map_rows, materialize, release
 
 #: Symbols of one index, and the most that the different runs of one anchor may hold to be indexed.
 INDEX_SYMBOLS = 1_000_000
@@ -350,12 +349,6 @@ def _index_marks(regions: DataFrame, p: PassageParams) -> DataFrame:
     return regions.select("h", "k1", "k2", "s", "c", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, MARK)
 
 
-def _clean(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
-
-
 def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: PassageParams = BYTES) -> tuple[DataFrame, list[str]]:
     """(k1, k2, start, len): symbol ranges to remove, of the rows keyed by _keyed; and the tables that hold them."""
     spark, keyed = docs.sparkSession, _keyed(docs, text, doc_id)
@@ -368,7 +361,7 @@ def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p:
         again, again_path = materialize(again.select("h", (F.col("d0") != F.col("d1")).alias("mixed")), "again")
         shared, path = materialize(runs.join(again, "h"), "shared")
         discard(spark, again_path, *trash)
-        _clean(spark)
+        release(spark)
         trash = [path]
         mixed = shared.where("mixed")
         first = F.min(F.struct("k1", "k2", "s", "w", *(["bytes"] if level else []))).alias("r")
@@ -389,7 +382,7 @@ def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p:
             regions = _fetch(wanted, keyed, p)
         regions, region_path = materialize(regions, "regions")
         discard(spark, *trash)
-        _clean(spark)
+        release(spark)
         marks.append(materialize(_index_marks(regions.where("hot = 0"), p), "marks"))
         hot = regions.where("hot = 1")
         trash = [region_path]
@@ -429,7 +422,7 @@ def _ranges(docs: DataFrame, text: str, doc_id: str, p: PassageParams) -> DataFr
     marks, paths = repeat_marks(docs, text, doc_id, p)
     found, _ = materialize(marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("ranges")), "ranges")
     discard(docs.sparkSession, *paths)
-    _clean(docs.sparkSession)
+    release(docs.sparkSession)
     return found
 
 

@@ -86,7 +86,7 @@ def test_near_links_of_hubs(spark, monkeypatch, bucket):
     rng = random.Random(4)
     prints = sorted({0, *(1 << rng.randint(0, 63) for _ in range(30)), *(1 << rng.randint(0, 63) | 1 << rng.randint(0, 63) for _ in range(60))})
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    links = {tuple(sorted(r)) for r in simhash.near_links(spark.createDataFrame(list(zip(signed, range(len(prints)))), "fp long, rep long")).collect()}
+    links = {tuple(sorted(r)) for r in simhash.near_links(spark.createDataFrame(list(zip(signed, range(len(prints)))), "fp long, rep long"))[0].collect()}
     assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in links)
     root = list(range(len(prints)))
     for _ in prints:
