@@ -16,8 +16,10 @@ the last and give no candidates. All candidates are verified on whole sets. Equa
 
 Skew: a shingle's texts never give all their pairs. Every bucket is first compared with one of
 its texts, which joins a large group of copies; a bucket is done once its texts are of one
-component. Small ones that are left give the pairs of different components; in large ones
-ever more texts of the minority are compared with the rest, until it is done.
+component. Small ones that are left give the pairs of different components. The texts of large
+ones that are left are posted once more, by whole sets and their exact bounds, and go through the
+same rounds, in the last of which ever more texts of a bucket's minority are compared with the
+rest, until it is done.
 
 Defined cases: fewer than five words are one shingle; null and blank texts have no shingle and are
 copies of each other; repeated rows are copies; very long texts give a sample of the same size;
@@ -40,7 +42,7 @@ from gristmill.llm.simhash import majority, near_links, shingle_hashes
 WORDS = 5
 #: Least similarity, as a fraction.
 NUM, DEN = 4, 5
-SAMPLE = 192
+SAMPLE = 128
 #: Sets so small that all that are alike have their whole set as sample.
 EXACT = SAMPLE * NUM // DEN
 #: Texts of a shingle that give the pairs of different components at once.
@@ -80,28 +82,33 @@ def summaries(texts: DataFrame) -> DataFrame:
     return map_rows(texts, "row long, id long, sig binary, n int, fp long, sample array<long>", make)
 
 
-def postings(sets: DataFrame) -> DataFrame:
+def postings(sets: DataFrame, whole: bool) -> tuple[DataFrame, str]:
     """(key, row, x): the sets under the rarest shingles of their samples, where more than one set has the shingle.
 
-    x is a struct of n, the shingle's place pos and the sample's largest hash.
+    x is a struct of n, the shingle's place pos and the sample's largest hash. whole: the samples
+    are whole sets. Also the table that holds them.
     """
     spark = sets.sparkSession
-    top = F.when(F.col("n") > SAMPLE, F.shiftrightunsigned(F.element_at("sample", -1), 1)).otherwise((1 << 63) - 1)
-    entries = sets.select("row", "n", top.alias("top"), F.explode("sample").alias("key"))
+    entries = sets.select("row", F.explode("sample").alias("key"))
     common, common_path = materialize(entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    shared, shared_path = materialize(entries.join(common, "key"), "shared")
+    release(spark)
     one = Window.partitionBy("row")  # a sample at most
     share = NUM / DEN
+    exact = f"(n * {NUM} + {DEN - 1}) div {DEN}"
     spread = f"sqrt({SAMPLE * share * (1 - share)} * greatest(0, n / {share} - {SAMPLE}) / (n / {share} - 1))"
-    least = F.expr(f"CASE WHEN n <= {EXACT} THEN (n * {NUM} + {DEN - 1}) div {DEN} ELSE CAST(least({share} * least(n, {SAMPLE}), {share * SAMPLE} - 5 * {spread}) AS INT) END")
-    taken = F.least("n", F.lit(SAMPLE))
+    least = F.expr(exact if whole else f"CASE WHEN n <= {EXACT} THEN {exact} ELSE CAST(least({share} * least(n, {SAMPLE}), {share * SAMPLE} - 5 * {spread}) AS INT) END")
+    taken = F.col("n") if whole else F.least("n", F.lit(SAMPLE))
+    top = F.when(F.lit(not whole) & (F.col("n") > SAMPLE), F.shiftrightunsigned(F.element_at("sample", -1), 1)).otherwise((1 << 63) - 1)
     # shingles of one set alone are the rarest, and need no posting
-    ranked = entries.join(common, "key").withColumn("pos", F.row_number().over(one.orderBy("df", "key")) - F.count("*").over(one) + taken - 1)
-    posts, _ = materialize(ranked.where(F.col("pos") <= taken - least).select("key", "row", F.struct("n", F.col("pos").cast("int").alias("pos"), "top").alias("x")), "posts")
-    discard(spark, common_path)
-    return posts
+    ranked = shared.join(sets.select("row", "n", top.alias("top")), "row").withColumn("pos", F.row_number().over(one.orderBy("df", "key")) - F.count("*").over(one) + taken - 1)
+    posts, path = materialize(ranked.where(F.col("pos") <= taken - least).select("key", "row", F.struct("n", F.col("pos").cast("int").alias("pos"), "top").alias("x")), "posts")
+    discard(spark, common_path, shared_path)
+    release(spark)
+    return posts, path
 
 
-def _fits(x: str, y: str):
+def _fits(x: str, y: str, whole: bool):
     """Whether the sets of two postings can be alike, if the postings are the first that they share.
 
     Of whole sets the places bound what is shared. Of samples, all shared shingles of the one with
@@ -111,14 +118,14 @@ def _fits(x: str, y: str):
     out = f"({NUM}D / {NUM + DEN} * ({x}.n + {y}.n))"  # least number of shared shingles
     side = lambda z: f"""{z}.pos <= least({z}.n, {SAMPLE}) * ({z}.n - {out}) / {z}.n + 5 * sqrt(greatest(0,
         least({z}.n, {SAMPLE}) * ({z}.n - {out}) / {z}.n * {out} / {z}.n * ({z}.n - least({z}.n, {SAMPLE})) / greatest({z}.n - 1, 1)))"""
-    whole = f"{NUM + DEN} * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {NUM} * ({x}.n + {y}.n)"
+    exact = f"{NUM + DEN} * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {NUM} * ({x}.n + {y}.n)"
     return F.expr(
-        f"""{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n) AND CASE WHEN greatest({x}.n, {y}.n) <= {SAMPLE} THEN {whole}
+        f"""{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n) AND CASE WHEN {whole} OR greatest({x}.n, {y}.n) <= {SAMPLE} THEN {exact}
         WHEN {x}.top <= {y}.top THEN {side(x)} ELSE {side(y)} END"""
     )
 
 
-def candidates(members: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def candidates(members: DataFrame, hubs: int, whole: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     """One round over buckets (key, row, x, comp): pairs (a, b) to verify, and the texts (key, row, x) still to compare.
 
     hubs 0: every bucket is compared with one text, that with the fewest rarer shingles, which the
@@ -133,7 +140,7 @@ def candidates(members: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame, lis
     if hubs:
         few = live.where(F.col("size") <= FEW).groupBy("key").agg(F.collect_list(F.struct("row", "x", "comp")).alias("xs"))
         pairs = few.select("xs", F.explode("xs").alias("p")).select("p", F.explode("xs").alias("q")).where("p.row < q.row AND p.comp != q.comp")
-        pairs = pairs.where(_fits("p.x", "q.x")).select(F.col("p.row").alias("a"), F.col("q.row").alias("b"))
+        pairs = pairs.where(_fits("p.x", "q.x", whole)).select(F.col("p.row").alias("a"), F.col("q.row").alias("b"))
         many = live.where(F.col("size") > FEW)
         central = many.where(minority).groupBy("key").agg(F.min(F.struct("x.pos", "row")).alias("next"))
         drawn = F.pmod(F.xxhash64("row", F.lit(hubs)), F.col("size")) < hubs
@@ -142,7 +149,7 @@ def candidates(members: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame, lis
         many, pairs = live, None
         chosen = live.where(F.col("row") == F.col("first"))
     chosen, chosen_path = materialize(chosen.select("key", F.col("row").alias("hub"), F.col("x").alias("hub_x"), F.col("comp").alias("hub_comp")), "hubs")
-    starred = many.join(chosen, "key").where((F.col("comp") != F.col("hub_comp")) & _fits("x", "hub_x"))
+    starred = many.join(chosen, "key").where((F.col("comp") != F.col("hub_comp")) & _fits("x", "hub_x", whole))
     starred = starred.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
     pairs, pairs_path = materialize((starred if pairs is None else pairs.union(starred)).distinct(), "pairs")
     gone = chosen.select("key", F.col("hub").alias("row"))
@@ -182,25 +189,53 @@ def verified(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, str]:
     return good, path
 
 
+def _whole_sets(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, str]:
+    """(row, n, sample) of the texts of rows, with whole sets as samples; and their table."""
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            sets = [shingles(x).view(np.int64) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "sample"])
+
+        return step
+
+    wanted = texts.select("row", "text").join(F.broadcast(rows) if small_enough(rows) else rows, "row")
+    return materialize(map_rows(wanted, "row long, n int, sample array<long>", make), "whole")
+
+
 def near_groups(texts: DataFrame) -> tuple[DataFrame, str]:
     """(row, id, root) of each of texts (row, id, text), a written table with distinct rows; root is common to a group. Also their table."""
     spark = texts.sparkSession
     known, known_path = materialize(summaries(texts.select("row", "id", "text")), "summaries")
     first = F.min(F.struct("row", "n", "fp", "sample")).alias("x")
     sets, sets_path = materialize(known.groupBy("sig").agg(first).select("sig", "x.*"), "sets")
+    of_row, of_row_path = materialize(known.select("row", "id", "sig"), "signatures")
+    discard(spark, known_path)
     prints, prints_path = materialize(sets.where("n > 0").groupBy("fp").agg(F.min("row").alias("rep")), "prints")
     same = sets.where("n > 0").join(prints, "fp").where("row != rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
     links, links_path = near_links(prints)
     pairs, pairs_path = materialize(links.union(same).distinct(), "pairs")
     edges, edge_path = verified(pairs, texts)
     roots, paths = connected_components(edges)
-    opened, hubs, trash, kept = postings(sets), 0, [prints_path, links_path, pairs_path], [edge_path]
+    discard(spark, prints_path, links_path, pairs_path)
+    kept = [edge_path]
     release(spark)
+    opened, opened_path = postings(sets, False)
+    of_set, of_set_path = materialize(sets.select("sig", "row"), "sets")
+    discard(spark, sets_path)
+    hubs, whole, trash = 0, False, [opened_path]
     while not opened.isEmpty():
+        if hubs > 4 and not whole:  # what large buckets have left
+            rows, rows_path = materialize(opened.select("row").distinct(), "rows")
+            wholes, wholes_path = _whole_sets(rows, texts)
+            opened, opened_path = postings(wholes, True)
+            discard(spark, rows_path, wholes_path, *trash)
+            hubs, whole, trash = 0, True, [opened_path]
         members, members_path = materialize(
             opened.join(roots, opened["row"] == roots["node"], "left").select("key", "row", "x", F.coalesce("root", "row").alias("comp")), "members"
         )
-        pairs, opened, more = candidates(members, hubs)
+        pairs, opened, more = candidates(members, hubs, whole)
         discard(spark, members_path, *trash)
         trash = more
         if not pairs.isEmpty():
@@ -212,11 +247,10 @@ def near_groups(texts: DataFrame) -> tuple[DataFrame, str]:
                 roots, paths = connected_components(edges)
         release(spark)
         hubs = 4 * hubs or 4
-    of_set, of_set_path = materialize(
-        sets.select("sig", "row").join(roots, sets["row"] == roots["node"], "left").select("sig", F.coalesce("root", "row").alias("root")), "roots"
-    )
-    groups, path = materialize(known.select("row", "id", "sig").join(of_set, "sig").select("row", "id", "root"), "groups")
-    discard(spark, known_path, sets_path, of_set_path, *paths, *trash, *kept)
+    rooted, rooted_path = materialize(of_set.join(roots, of_set["row"] == roots["node"], "left").select("sig", F.coalesce("root", "row").alias("root")), "roots")
+    groups, path = materialize(of_row.join(rooted, "sig").select("row", "id", "root"), "groups")
+    discard(spark, of_row_path, of_set_path, rooted_path, *paths, *trash, *kept)
+    release(spark)
     return groups, path
 
 
