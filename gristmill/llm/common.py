@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: A table of at most this many rows (of a few numbers each) may be broadcast; larger ones are joined.
 BROADCAST_ROWS = 100_000
+#: The same for rows of one or two numbers.
+BROADCAST_NUMBERS = 1_000_000
 
 _own_dir: list[str] = []
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import column, connected_components, discard, map_rows, materialize, release, small_enough
+from gristmill.llm.common import BROADCAST_NUMBERS, column, connected_components, discard, map_rows, materialize, release, small_enough
 from gristmill.llm.simhash import majority, near_links, shingle_hashes
 
 WORDS = 5
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, str]:
     """The pairs (a, b) whose texts are alike; each text that is needed is read and hashed once. Also the table that holds them."""
     spark = texts.sparkSession
     need, need_path = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "need")
-    few = small_enough(need)
+    few = small_enough(need, BROADCAST_NUMBERS)
 
     def digest():
         def step(batch: pa.RecordBatch):
@@ -200,7 +200,7 @@ def _whole_sets(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, str]:
 
         return step
 
-    wanted = texts.select("row", "text").join(F.broadcast(rows) if small_enough(rows) else rows, "row")
+    wanted = texts.select("row", "text").join(F.broadcast(rows) if small_enough(rows, BROADCAST_NUMBERS) else rows, "row")
     return materialize(map_rows(wanted, "row long, n int, sample array<long>", make), "whole")
 
 
@@ -263,7 +263,9 @@ def keep_one_alike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = numbered.select(F.col(number).alias("row"), column(doc_id).cast("long").alias("id"), column(text).alias("text"))
     groups, path = near_groups(texts)
     first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("kept"))
-    kept, _ = materialize(first.select(F.col("kept.row").alias("__kept")), "kept")
-    discard(spark, path)
+    first, first_path = materialize(first.select("root", F.col("kept.row").alias("kept")), "kept")  # written: a root of very many rows can be split
+    gone, _ = materialize(groups.join(first, "root").where("row != kept").select(F.col("row").alias("__gone")), "gone")
+    discard(spark, path, first_path)
     release(spark)
-    return numbered.join(F.broadcast(kept) if small_enough(kept) else kept, numbered[number] == kept["__kept"], "left_semi").drop(number)
+    # few rows go, so their numbers are sent rather than all texts moved
+    return numbered.join(F.broadcast(gone) if small_enough(gone, BROADCAST_NUMBERS) else gone, numbered[number] == gone["__gone"], "left_anti").drop(number)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import column, discard, map_rows, materialize, release
+from gristmill.llm.common import BROADCAST_NUMBERS, BROADCAST_ROWS, column, discard, map_rows, materialize, release, small_enough
 
 #: Symbols of one index, and the most that the different runs of one anchor may hold to be indexed.
 INDEX_SYMBOLS = 1_000_000
@@ -273,6 +273,8 @@ def _run_marks(runs: DataFrame, p: PassageParams) -> DataFrame:
 def _fetch(wanted: DataFrame, keyed: DataFrame, p: PassageParams) -> DataFrame:
     """wanted runs with their symbols."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "s", "w", "c", F.col("hot").cast("long").alias("hot"))).alias("runs"))
+    if small_enough(wanted, BROADCAST_ROWS):  # else texts and runs meet by their key
+        lists = F.broadcast(lists)
     # of rows with equal keys any has the same text
     joined = keyed.where(F.octet_length("text") >= p.length).join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs")
     schema = f"{RUN}, hot long, bytes binary"
@@ -421,9 +423,11 @@ def word_bytes(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]
 def _ranges(docs: DataFrame, text: str, doc_id: str, p: PassageParams) -> DataFrame:
     marks, paths = repeat_marks(docs, text, doc_id, p)
     found, _ = materialize(marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("ranges")), "ranges")
+    n = marks.limit(BROADCAST_NUMBERS + 1).count()
     discard(docs.sparkSession, *paths)
     release(docs.sparkSession)
-    return found
+    # so few ranges are sent to the texts; more meet them by their key
+    return F.broadcast(found) if n <= BROADCAST_NUMBERS else found
 
 
 def remove_repeats(
