@@ -270,10 +270,10 @@ def _run_marks(runs: DataFrame, p: PassageParams) -> DataFrame:
     return runs.select("k1", "k2", F.col("s").alias("start"), (F.col("w") + (p.length - 1)).alias("len"))
 
 
-def _fetch(wanted: DataFrame, keyed: DataFrame, p: PassageParams) -> DataFrame:
+def _fetch(wanted: DataFrame, keyed: DataFrame, p: PassageParams, send: bool) -> DataFrame:
     """wanted runs with their symbols."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "s", "w", "c", F.col("hot").cast("long").alias("hot"))).alias("runs"))
-    if small_enough(wanted, BROADCAST_ROWS):  # else texts and runs meet by their key
+    if send and small_enough(wanted, BROADCAST_ROWS):  # else texts and runs meet by their key
         lists = F.broadcast(lists)
     # of rows with equal keys any has the same text
     joined = keyed.where(F.octet_length("text") >= p.length).join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs")
@@ -351,7 +351,7 @@ def _index_marks(regions: DataFrame, p: PassageParams) -> DataFrame:
     return regions.select("h", "k1", "k2", "s", "c", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, MARK)
 
 
-def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: PassageParams = BYTES) -> tuple[DataFrame, list[str]]:
+def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: PassageParams = BYTES, send: bool = False) -> tuple[DataFrame, list[str]]:
     """(k1, k2, start, len): symbol ranges to remove, of the rows keyed by _keyed; and the tables that hold them."""
     spark, keyed = docs.sparkSession, _keyed(docs, text, doc_id)
     marks: list[tuple[DataFrame, str]] = []
@@ -381,7 +381,7 @@ def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p:
         else:
             wanted, path = materialize(wanted, "wanted")
             trash.append(path)
-            regions = _fetch(wanted, keyed, p)
+            regions = _fetch(wanted, keyed, p, send)
         regions, region_path = materialize(regions, "regions")
         discard(spark, *trash)
         release(spark)
@@ -420,30 +420,32 @@ def word_bytes(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(starts[a], ends[b - 1]) for a, b in spans]
 
 
-def _ranges(docs: DataFrame, text: str, doc_id: str, p: PassageParams) -> DataFrame:
-    marks, paths = repeat_marks(docs, text, doc_id, p)
+def _ranges(docs: DataFrame, text: str, doc_id: str, p: PassageParams, send: bool) -> DataFrame:
+    marks, paths = repeat_marks(docs, text, doc_id, p, send)
     found, _ = materialize(marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("ranges")), "ranges")
-    n = marks.limit(BROADCAST_NUMBERS + 1).count()
+    few = send and small_enough(marks, BROADCAST_NUMBERS)
     discard(docs.sparkSession, *paths)
     release(docs.sparkSession)
     # so few ranges are sent to the texts; more meet them by their key
-    return F.broadcast(found) if n <= BROADCAST_NUMBERS else found
+    return F.broadcast(found) if few else found
 
 
 def remove_repeats(
-    docs: DataFrame, carry: list[str], digest: bool, text: str = "text", doc_id: str = "doc_id", p: PassageParams = BYTES, also: PassageParams | None = None
+    docs: DataFrame, carry: list[str], digest: bool, text: str = "text", doc_id: str = "doc_id", p: PassageParams = BYTES, also: PassageParams | None = None, send: bool = False
 ) -> DataFrame:
     """carry columns and a struct `__r`: n_bytes, n_removed, n_spans, kept_sha256 or the kept text, and n_also.
 
-    n_also counts the symbols in repeated passages of a second kind, which stay.
+    n_also counts the symbols in repeated passages of a second kind, which stay. send: where few
+    texts have repeats, as after near-dedup, a checked number of ranges goes to the texts; else
+    texts and ranges meet by their key.
     """
-    found = _ranges(docs, text, doc_id, p)
+    found = _ranges(docs, text, doc_id, p, send)
     rows = docs.select(F.xxhash64(doc_id, text).alias("k1"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("k2"), F.struct(*map(column, carry)).alias("row"), F.col(text).alias("text"))
     joined = rows.join(found, ["k1", "k2"], "left")
     if also is None:
         joined = joined.select("row", "text", "ranges", F.expr("CAST(NULL AS ARRAY<STRUCT<start: BIGINT, len: BIGINT>>)").alias("other"))
     else:
-        joined = joined.join(_ranges(docs, text, doc_id, also).withColumnRenamed("ranges", "other"), ["k1", "k2"], "left").select("row", "text", "ranges", "other")
+        joined = joined.join(_ranges(docs, text, doc_id, also, send).withColumnRenamed("ranges", "other"), ["k1", "k2"], "left").select("row", "text", "ranges", "other")
     schema = joined.select("row", F.expr("named_struct('n_bytes', 0L, 'n_removed', 0L, 'n_spans', 0L, 'kept', '', 'n_also', 0L)").alias("__r")).schema
 
     def make():
@@ -472,7 +474,7 @@ def remove_repeats(
 
 def deduplicate_text(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p: PassageParams = BYTES) -> DataFrame:
     """docs with repeated passages cut out of their texts and n_chars, if there, counted anew. Null texts stay null."""
-    done = remove_repeats(docs, docs.columns, False, text, doc_id, p)
+    done = remove_repeats(docs, docs.columns, False, text, doc_id, p, send=True)
     kept = F.when(F.col("row").getField(text).isNotNull(), F.col("__r.kept"))
     changed = {text: kept, "n_chars": F.length(kept).cast("long")} if "n_chars" in docs.columns else {text: kept}
     return done.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
