@@ -361,7 +361,7 @@ def repeat_marks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p:
         # tables that are joined are written first: a join of two plain tables lets AQE split an anchor of very many runs
         again = runs.groupBy("h").agg(F.sum("c").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("n > 1")
         again, again_path = materialize(again.select("h", (F.col("d0") != F.col("d1")).alias("mixed")), "again")
-        shared, path = materialize(runs.join(again, "h"), "shared")
+        shared, path = materialize(runs.join(F.broadcast(again) if send and small_enough(again, BROADCAST_NUMBERS) else again, "h"), "shared")
         discard(spark, again_path, *trash)
         release(spark)
         trash = [path]
