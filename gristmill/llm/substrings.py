@@ -38,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import BROADCAST_NUMBERS, BROADCAST_ROWS, column, discard, map_rows, materialize, release, small_enough
+from gristmill.llm.common import BROADCAST_NUMBERS, column, discard, map_rows, materialize, release, small_enough
 
 #: Symbols of one index, and the most that the different runs of one anchor may hold to be indexed.
 INDEX_SYMBOLS = 1_000_000
+#: Runs of eight numbers, some 30 MB, that may be sent to the texts.
+SENT_RUNS = 400_000
 #: Symbols hashed at once.
 PIECE = 1 << 20
 _POSITION = (1 << 24) - 1
@@ -273,7 +275,7 @@ def _run_marks(runs: DataFrame, p: PassageParams) -> DataFrame:
 def _fetch(wanted: DataFrame, keyed: DataFrame, p: PassageParams, send: bool) -> DataFrame:
     """wanted runs with their symbols."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "s", "w", "c", F.col("hot").cast("long").alias("hot"))).alias("runs"))
-    if send and small_enough(wanted, BROADCAST_ROWS):  # else texts and runs meet by their key
+    if send and small_enough(wanted, SENT_RUNS):  # else texts and runs meet by their key
         lists = F.broadcast(lists)
     # of rows with equal keys any has the same text
     joined = keyed.where(F.octet_length("text") >= p.length).join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs")
