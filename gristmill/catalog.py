@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as fn
-from gristmill.operators import extract, index, retrieval, stats, symbols
+from gristmill.operators import extract, index, jvm, retrieval, stats, symbols
 from gristmill.plans import planner
 from gristmill.sources import files as sources
 from gristmill.streaming import streams
@@ -664,9 +664,37 @@ def python_enrich(spark, sf_dir):
     return extract.enrich_python(_sources(spark).where("language = 'python'"))
 
 
-@query()
+# sources made of parts' names: a template by the part's number, the name's first two words as type names
+_JVM_SOURCE = """CASE p_partkey % 10
+WHEN 0 THEN '/* interface of ' || p_name || ' */' || nl || 'suspend fun run(): Flow<' || a || '> = flow { emit(1) } // @Inject'
+WHEN 1 THEN '@Module' || nl || 'class M { @Provides' || nl || 'fun make(x: Int): ' || a || ' = TODO() }'
+WHEN 2 THEN 'data class ' || a || ' @Inject constructor(val p: ' || b || ', val q: List) : Base<' || b || '>(1), ' || b || ' {'
+WHEN 3 THEN 'object ' || a || ' { @Inject lateinit var z: ' || b || ' }'
+WHEN 4 THEN '@Singleton public class ' || a || ' extends Base<' || b || '> implements ' || b || ', Closeable { private static X getInstance() { return submit(1); } }'
+WHEN 5 THEN '/* ' || p_name || nl || ' */ public enum ' || a || ' { X } // @Test'
+WHEN 6 THEN 'public interface ' || a || ' { @Provides public ' || b || ' make(); }'
+WHEN 7 THEN 'sealed interface ' || a || ' : ' || b || ' {' || nl || '@Composable fun f() {}'
+WHEN 8 THEN 'abstract class ' || a || ' { @Test void t() { f.thenApply(g); } }'
+ELSE '/* open ' || p_name || ' @Provides' END"""
+_JVM_LANGUAGE = "CASE WHEN p_partkey % 10 IN (4, 5, 6, 8) THEN 'java' WHEN p_partkey % 30 = 9 THEN 'go' ELSE 'kotlin' END"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, p_name, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS a, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS b, chr(10) AS nl FROM part),
+s AS (SELECT p_partkey, {_JVM_LANGUAGE} AS language, {_JVM_SOURCE} AS content, p_partkey % 10 AS k, a, b FROM n),
+c AS (SELECT *, language = 'kotlin' AS kt, language = 'java' AS ja, regexp_replace(regexp_replace(regexp_replace(content, '/\\*[^\\n*]*\\*/', '', 'g'), '/\\*[^*]*(\\*/|$)', chr(10), 'g'), '//[^\\n]*', '', 'g') AS t FROM s)
+SELECT CAST(p_partkey AS VARCHAR) AS file_path, language, (kt OR ja) AND contains(t, '@Provides') AS is_di_provider, (kt OR ja) AND contains(t, '@Inject') AS is_di_consumer,
+kt AND (contains(t, 'suspend fun ') OR starts_with(ltrim(t, ' ' || chr(10)), 'suspend ')) AS is_suspend, kt AND (contains(t, 'flow {{') OR contains(t, 'launch')) AS uses_coroutines, kt AND contains(t, 'Flow<') AS uses_flow,
+ja AND (contains(t, 'submit(') OR contains(t, 'thenApply')) AS uses_async_java, kt AND k = 3 OR (kt OR ja) AND contains(t, '@Singleton') AS is_singleton, kt AND contains(t, 'sealed interface ') AS is_sealed,
+kt AND contains(t, 'data class ') AS is_data_class, contains(t, 'abstract class ') AS is_abstract, ja AND contains(t, 'public interface ') AS is_interface,
+ja AND starts_with(ltrim(t, ' ' || chr(10)), 'public enum ') AS is_enum, kt AND contains(t, '@Composable') AS is_composable, kt AND contains(t, '@Module') AS is_di_component, ja AND contains(t, '@Test') AS has_unit_test,
+kt AND k = 3 AS is_kotlin_object, ja AND contains(t, 'getInstance(') AND contains(t, 'private ') AND contains(t, 'static ') AS is_singleton_pattern,
+CASE k WHEN 1 THEN a WHEN 6 THEN b ELSE '' END AS provides, CASE k WHEN 2 THEN array_to_string(list_sort(list_distinct([b, 'List'])), ',') WHEN 3 THEN b ELSE '' END AS injects,
+CASE k WHEN 4 THEN 'Base,' || b || ',Closeable' WHEN 7 THEN b ELSE '' END AS inherits_from FROM c""")
 def jvm_flags(spark, sf_dir):
-    return extract.jvm_flags(_sources(spark).where("language = 'kotlin'"))
+    word = lambda i: F.expr(f"concat(upper(left(split(p_name, ' ')[{i}], 1)), substr(split(p_name, ' ')[{i}], 2))")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", word(0).alias("a"), word(1).alias("b"), F.lit("\n").alias("nl"))
+    files = parts.selectExpr("CAST(p_partkey AS STRING) AS file_path", f"{_JVM_LANGUAGE} AS language", f"{_JVM_SOURCE} AS content")
+    return jvm.jvm_flags(files).withColumns({c: F.array_join(c, ",") for c in ("provides", "injects", "inherits_from")})
 
 
 @query()
