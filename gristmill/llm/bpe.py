@@ -1,15 +1,17 @@
 """BPE encoding and decoding by forced boundaries (operator 8).
 
 Two neighbouring bytes that never stand side by side inside any vocabulary token can never be
-joined by a merge: between them lies a certain cut. Of those cuts the ones between a non-space
-and white space are also ends of pre-tokens whatever surrounds them (no pre-token of the pattern
-holds a non-space followed by white space, and its look-ahead only looks from white space to the
-next character, which stays in the same fragment). Texts are cut there with one vectorised table
-look-up, fragments are encoded independently and the ids concatenated. Repeated fragments come
-from a bounded cache.
+joined by a merge: between them lies a certain cut. The table of such pairs is used twice.
+Texts are first cut with one vectorised look-up at those forced pairs, a non-space and white
+space, which are ends of pre-tokens whatever surrounds them (no pre-token of the pattern holds a
+non-space followed by white space, and its look-ahead only looks from white space to the next
+character, which stays in the same fragment). What lies between is split into pre-tokens, and
+every pre-token is cut at all its forced pairs; the pieces are encoded independently, without a
+pattern, and the ids concatenated. Repeated fragments come from a bounded cache.
 
 Defined cases: null text is empty; empty text has no tokens; the special token's string is one
-token where special is on, ordinary text otherwise; repeated rows give repeated results.
+token where special is on, ordinary text otherwise; repeated rows give repeated results; an empty table gives no rows; very long texts and words
+without a space are read whole.
 """
 
 from __future__ import annotations
@@ -59,6 +61,7 @@ class ForcedBoundaryBpe:
         self.core = None
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]} if special else {}
         letters = byte_alphabet()
+        self.letters = {ord(x): chr(b) for x, b in letters.items()}
         size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in spec["model"]["vocab"].items():
@@ -79,16 +82,25 @@ class ForcedBoundaryBpe:
         self.decimal = [str(i) for i in range(size)]
         right = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
         left = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0x80, 0xC0)])
-        self.cuts = ~inside & left[:, None] & right[None, :]
+        #: Pairs of bytes that no token holds side by side.
+        self.forced = ~inside
+        self.cuts = self.forced & left[:, None] & right[None, :]
         #: For texts with white space beyond ASCII, whose last byte is a continuation byte.
         self.ascii_cuts = self.cuts & (np.arange(256) < 0x80)[:, None]
         self.cache = _FragmentCache(self._fragment)
 
     def _fragment(self, fragment: bytes) -> tuple[int, ...]:
         text = fragment.decode("utf-8")
-        if self.core is not None:
-            return tuple(self.core.encode_ordinary(text))
-        return tuple(self.model.encode(text, add_special_tokens=False).ids)
+        if self.core is None:
+            return tuple(self.model.encode(text, add_special_tokens=False).ids)
+        words = (word.translate(self.letters).encode("latin-1") for word, _ in self.model.pre_tokenizer.pre_tokenize_str(text))
+        return tuple(chain.from_iterable(self.core._encode_single_piece(x) for word in words for x in self.pieces(word)))
+
+    def pieces(self, word: bytes) -> list[bytes]:
+        """A pre-token cut at every forced pair."""
+        view = np.frombuffer(word, np.uint8)
+        ends = (np.flatnonzero(self.forced[view[:-1], view[1:]]) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
 
     def fragments(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "replace")
