@@ -2,13 +2,17 @@
 
 Every document gets a few ratios. For each language and source a quantile sketch of every ratio
 is built: an HDR-style histogram whose integer bins merge by adding counts, so partial sketches
-of tasks, sources and languages combine exactly and in any order. Tukey fences around the
-sketch's quartiles replace fixed cutoffs; sources with few documents borrow the sketch of their
-language, then that of the corpus. The fences are joined back and filter the documents.
-
-Defined cases: null text counts as empty (no words, so the base rule rejects it); null language
-or source form a group of their own; an empty table gives an empty result; repeated rows are
-judged alike, one result row each; extra columns are carried untouched, whatever their names.
+of tasks, sources and languages combine exactly and in any order. Tukey fences around the sketch's
+quartiles replace fixed cutoffs. A source's fences are averaged with its language's, and those with
+the corpus's, by the number of documents against `borrow`, so small groups borrow smoothly. The
+fences are joined back. Ratios are counts over lengths, and short texts scatter: a document is
+rejected where its count lies beyond what its length and the fence lead to expect by more than
+`deviations` standard deviations of such counts (Poisson's, in units of the events that make them).
+
+Defined cases: null text counts as empty (no words, so the base rule rejects it); null language or
+source count as the empty string; an empty table gives an empty result; ties share a bin; repeated
+rows are judged alike, one result row each; very long texts are read whole; extra columns are
+carried untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +27,13 @@ from pyspark.sql import types as T
 
 from gristmill.llm.common import column, map_rows, materialize, small_enough
 
-#: Ratios, scaled to integers, and the least distance that a fence keeps from its quartile.
-METRICS = {"word_len": 1500, "symbols": 800, "dup_lines": 5000, "repeats": 2000}
+#: Ratios: count, length, scale of the ratio, and units that one event adds (a repeated window of five words occurs twice).
+METRICS = {
+    "word_len": ("word_chars", "n_words", 1000, 1),
+    "symbols": ("n_symbols", "n_words", 10000, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 10000, 1),
+    "repeats": ("n_repeat_words", "n_words", 10000, 10),
+}
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -35,7 +44,8 @@ class QualityParams:
     min_words: int = 10
     max_repeat_percent: int = 20
     fence: int = 4
-    min_group: int = 50
+    borrow: int = 200
+    deviations: int = 6
     lang: str = "lang"
     source: str = "source"
     text: str = "text"
@@ -88,13 +98,48 @@ def with_features(docs: DataFrame, carry: list[str], params: QualityParams) -> D
     return map_rows(docs.select(*need), schema, make)
 
 
-def _metric_columns(q: str = "__q") -> dict[str, str]:
-    return {
-        "word_len": f"({q}.word_chars * 1000) div greatest({q}.n_words, 1L)",
-        "symbols": f"({q}.n_symbols * 10000) div greatest({q}.n_words, 1L)",
-        "dup_lines": f"({q}.n_dup_lines * 10000) div greatest({q}.n_lines, 1L)",
-        "repeats": f"({q}.n_repeat_words * 10000) div greatest({q}.n_words, 1L)",
-    }
+def _metric_columns(q: str = "__q.") -> dict[str, str]:
+    return {k: f"({q}{count} * {scale}) div greatest({q}{length}, 1L)" for k, (count, length, scale, _) in METRICS.items()}
+
+
+def _inside(p: QualityParams, q: str = "__q.") -> str:
+    """Whether all counts lie within the fences and their scatter; both engines compute it in the same doubles."""
+    tests = []
+    for k, (count, length, scale, unit) in METRICS.items():
+        for fence, sign in ((f"hi_{k}", 1), (f"lo_{k}", -1)):
+            expected = f"({fence} * CAST(greatest({q}{length}, 1) AS DOUBLE))"
+            beyond = f"({sign} * (CAST({q}{count} AS DOUBLE) * CAST({scale} AS DOUBLE) - {expected}))"
+            spread = f"CAST({p.deviations**2 * unit * scale} AS DOUBLE) * ({expected} + CAST({unit * scale} AS DOUBLE))"
+            tests.append(f"coalesce({beyond} <= 0 OR {beyond} * {beyond} <= {spread}, true)")
+    return " AND ".join(tests)
+
+
+def _learned(sketch: str, p: QualityParams, quantile: str) -> list[tuple[str, str]]:
+    """From the sketch to (g_lang, g_source, lo_<metric>, hi_<metric>), as named steps."""
+    out = ", ".join(f"max(CASE WHEN metric = '{k}' THEN {e} END) AS {e}_{k}" for k in METRICS for e in ("lo", "hi"))
+    mix = lambda n, own, above: f"(CAST({n} AS DOUBLE) * {own} + CAST({p.borrow} AS DOUBLE) * {above}) / CAST({n} + {p.borrow} AS DOUBLE)"
+    return [
+        ("level", f"""
+          SELECT 2 AS lv, g_lang AS kl, g_source AS ks, metric, bin, n FROM {sketch}
+          UNION ALL SELECT 1, g_lang, '', metric, bin, sum(n) FROM {sketch} GROUP BY g_lang, metric, bin
+          UNION ALL SELECT 0, '', '', metric, bin, sum(n) FROM {sketch} GROUP BY metric, bin"""),
+        ("run", """
+          SELECT *, sum(n) OVER (PARTITION BY lv, kl, ks, metric ORDER BY bin) AS cum,
+                 sum(n) OVER (PARTITION BY lv, kl, ks, metric) AS total FROM level"""),
+        ("quart", f"""
+          SELECT lv, kl, ks, metric, max(total) AS total, {quantile.format(k=1)} AS q1, {quantile.format(k=3)} AS q3
+          FROM run GROUP BY lv, kl, ks, metric"""),
+        ("fence", f"""
+          SELECT lv, kl, ks, metric, total, CAST(greatest(q1 - {p.fence} * (q3 - q1), 0) AS DOUBLE) AS lo,
+                 CAST(q3 + {p.fence} * (q3 - q1) AS DOUBLE) AS hi FROM quart"""),
+        ("language", f"""
+          SELECT a.kl, a.metric, {mix("a.total", "a.lo", "b.lo")} AS lo, {mix("a.total", "a.hi", "b.hi")} AS hi
+          FROM fence a JOIN fence b ON b.lv = 0 AND b.metric = a.metric WHERE a.lv = 1"""),
+        ("source", f"""
+          SELECT a.kl AS g_lang, a.ks AS g_source, a.metric, {mix("a.total", "a.lo", "b.lo")} AS lo, {mix("a.total", "a.hi", "b.hi")} AS hi
+          FROM fence a JOIN language b ON b.kl = a.kl AND b.metric = a.metric WHERE a.lv = 2"""),
+        ("learned", f"SELECT g_lang, g_source, {out} FROM source GROUP BY g_lang, g_source"),
+    ]
 
 
 def _failed(p: QualityParams, q: str = "__q") -> str:
@@ -115,57 +160,33 @@ def sketches(features: DataFrame, params: QualityParams) -> DataFrame:
 
 
 def fences(sketch: DataFrame, params: QualityParams) -> DataFrame:
-    """One row a group: lo_<metric> and hi_<metric>, by the first of source, language and corpus with enough documents."""
-    spark = sketch.sparkSession
-    sketch.createOrReplaceTempView("gristmill_sketch")
-    slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in METRICS.items())
-    out = ", ".join(f"max(CASE WHEN metric = '{k}' THEN {e} END) AS {e}_{k}" for k in METRICS for e in ("lo", "hi"))
+    """One row a group: lo_<metric> and hi_<metric>, those of the source, its language and the corpus averaged."""
     quantile = "min(CASE WHEN cum * 4 >= {k} * total THEN shiftleft(bin % 64, CAST(bin div 64 AS INT)) END)"
-    merged = spark.sql(
-        f"""
-        WITH level AS (
-          SELECT 2 AS lv, g_lang AS kl, g_source AS ks, metric, bin, n FROM gristmill_sketch
-          UNION ALL SELECT 1, g_lang, '', metric, bin, sum(n) FROM gristmill_sketch GROUP BY g_lang, metric, bin
-          UNION ALL SELECT 0, '', '', metric, bin, sum(n) FROM gristmill_sketch GROUP BY metric, bin),
-        run AS (
-          SELECT *, sum(n) OVER (PARTITION BY lv, kl, ks, metric ORDER BY bin) AS cum,
-                 sum(n) OVER (PARTITION BY lv, kl, ks, metric) AS total FROM level),
-        quart AS (
-          SELECT lv, kl, ks, metric, max(total) AS total, {quantile.format(k=1)} AS q1, {quantile.format(k=3)} AS q3
-          FROM run GROUP BY lv, kl, ks, metric),
-        fence AS (
-          SELECT *, q1 - {params.fence} * (q3 - q1) - (CASE metric {slack} END) AS lo,
-                 q3 + {params.fence} * (q3 - q1) + (CASE metric {slack} END) AS hi FROM quart),
-        grp AS (SELECT DISTINCT g_lang, g_source, metric FROM gristmill_sketch),
-        pick AS (
-          SELECT g_lang, g_source, g.metric,
-                 CASE WHEN a.total >= {params.min_group} THEN a.lo WHEN b.total >= {params.min_group} THEN b.lo ELSE c.lo END AS lo,
-                 CASE WHEN a.total >= {params.min_group} THEN a.hi WHEN b.total >= {params.min_group} THEN b.hi ELSE c.hi END AS hi
-          FROM grp g JOIN fence a ON a.lv = 2 AND a.kl = g_lang AND a.ks = g_source AND a.metric = g.metric
-          JOIN fence b ON b.lv = 1 AND b.kl = g_lang AND b.metric = g.metric
-          JOIN fence c ON c.lv = 0 AND c.metric = g.metric)
-        SELECT g_lang, g_source, {out} FROM pick GROUP BY g_lang, g_source"""
-    )
-    return merged
+    steps = ", ".join(f"{name} AS ({sql})" for name, sql in _learned("{sketch}", params, quantile))
+    return sketch.sparkSession.sql(f"WITH {steps} SELECT * FROM learned", sketch=sketch)
 
 
 def _judged(docs: DataFrame, carry: list[str], params: QualityParams) -> DataFrame:
-    """carry columns as c0, c1, ..., and `__q`, `__failed`, `__kept`: no name of docs can clash."""
-    spark = docs.sparkSession
+    """carry columns as c0, c1, ..., and `__q`, `__failed`, `__kept`: no name of docs can clash.
+
+    Texts pass through Python once if they are not carried, else once to learn and once to judge.
+    """
     need = list(dict.fromkeys([*carry, params.lang, params.source, params.text]))
     name = {c: f"c{i}" for i, c in enumerate(need)}
     docs = docs.select(*[column(c).alias(name[c]) for c in need])
+    carries_text = params.text in carry
     params = replace(params, lang=name[params.lang], source=name[params.source], text=name[params.text])
-    group = [params.lang, params.source]
-    learned, _ = materialize(fences(sketches(with_features(docs, group, params), params), params), "fences")
-    out = [name[c] for c in carry]
+    group, out = [params.lang, params.source], [name[c] for c in carry]
     rows = with_features(docs, list(dict.fromkeys([*out, *group])), params)
-    inside = " AND ".join(f"({v}) BETWEEN lo_{k} AND hi_{k}" for k, v in _metric_columns().items())
+    if not carries_text:
+        rows, _ = materialize(rows, "features")
+    sketch, _ = materialize(sketches(with_features(docs, group, params) if carries_text else rows, params), "sketch")
+    learned, _ = materialize(fences(sketch, params), "fences")
     side = F.broadcast(learned) if small_enough(learned) else learned  # else AQE splits hot sources
     joined = rows.join(
         side, (F.coalesce(rows[params.lang], F.lit("")) == F.col("g_lang")) & (F.coalesce(rows[params.source], F.lit("")) == F.col("g_source")), "left"
     )
-    return joined.select(*out, "__q", F.expr(_failed(params)).alias("__failed"), F.expr(f"NOT {_failed(params)} AND coalesce({inside}, true)").alias("__kept"))
+    return joined.select(*out, "__q", F.expr(_failed(params)).alias("__failed"), F.expr(f"NOT {_failed(params)} AND {_inside(params)}").alias("__kept"))
 
 
 def judge(docs: DataFrame, carry: list[str], params: QualityParams = QualityParams()) -> DataFrame:
@@ -186,13 +207,11 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    metric = {k: v.replace("__q.", "").replace(" div ", " // ").replace("1L", "1") for k, v in _metric_columns().items()}
+    metric = {k: v.replace(" div ", " // ").replace("1L", "1") for k, v in _metric_columns("").items()}
     p = QualityParams()
-    slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in METRICS.items())
     stack = " UNION ALL ".join(f"SELECT g_lang, g_source, '{k}' AS metric, {v} AS v FROM feat WHERE NOT base_failed" for k, v in metric.items())
-    inside = " AND ".join(f"coalesce(({v}) BETWEEN lo_{k} AND hi_{k}, true)" for k, v in metric.items())
     quantile = "min(CASE WHEN cum * 4 >= {k} * total THEN (bin % 64) * CAST(pow(2, bin // 64) AS BIGINT) END)"
-    out = ", ".join(f"max(CASE WHEN metric = '{k}' THEN {e} END) AS {e}_{k}" for k in METRICS for e in ("lo", "hi"))
+    learned = ",\n    ".join(f"{name} AS ({sql})" for name, sql in _learned("sk", p, quantile))
     return f"""
     WITH w AS (
       SELECT doc_id, coalesce(lang, '') AS g_lang, coalesce(source, '') AS g_source, coalesce(text, '') AS t,
@@ -216,26 +235,9 @@ def oracle() -> str:
     sk AS (
       SELECT g_lang, g_source, metric, 64 * greatest(length(bin(v)) - 6, 0) + (v >> greatest(length(bin(v)) - 6, 0)) AS bin, count(*) AS n
       FROM vals GROUP BY ALL),
-    level AS (
-      SELECT 2 AS lv, g_lang AS kl, g_source AS ks, metric, bin, n FROM sk
-      UNION ALL SELECT 1, g_lang, '', metric, bin, sum(n) FROM sk GROUP BY g_lang, metric, bin
-      UNION ALL SELECT 0, '', '', metric, bin, sum(n) FROM sk GROUP BY metric, bin),
-    run AS (
-      SELECT *, sum(n) OVER (PARTITION BY lv, kl, ks, metric ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY lv, kl, ks, metric) AS total FROM level),
-    quart AS (
-      SELECT lv, kl, ks, metric, max(total) AS total, {quantile.format(k=1)} AS q1, {quantile.format(k=3)} AS q3 FROM run GROUP BY lv, kl, ks, metric),
-    fence AS (
-      SELECT *, q1 - {p.fence} * (q3 - q1) - (CASE metric {slack} END) AS lo, q3 + {p.fence} * (q3 - q1) + (CASE metric {slack} END) AS hi FROM quart),
-    pick AS (
-      SELECT g_lang, g_source, g.metric,
-             CASE WHEN a.total >= {p.min_group} THEN a.lo WHEN b.total >= {p.min_group} THEN b.lo ELSE c.lo END AS lo,
-             CASE WHEN a.total >= {p.min_group} THEN a.hi WHEN b.total >= {p.min_group} THEN b.hi ELSE c.hi END AS hi
-      FROM (SELECT DISTINCT g_lang, g_source, metric FROM sk) g
-      JOIN fence a ON a.lv = 2 AND a.kl = g_lang AND a.ks = g_source AND a.metric = g.metric
-      JOIN fence b ON b.lv = 1 AND b.kl = g_lang AND b.metric = g.metric JOIN fence c ON c.lv = 0 AND c.metric = g.metric),
-    fin AS (SELECT g_lang AS fl, g_source AS fs, {out} FROM pick GROUP BY g_lang, g_source)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
-    FROM feat LEFT JOIN fin ON fl = g_lang AND fs = g_source"""
+    {learned}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_inside(p, "")} AS kept
+    FROM feat LEFT JOIN learned ON learned.g_lang = feat.g_lang AND learned.g_source = feat.g_source"""
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
