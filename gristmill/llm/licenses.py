@@ -31,14 +31,31 @@ SENTENCES = {
     "mit-1": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-2": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-3": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-4": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-1": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache-2": "You may obtain a copy of the License at",
+    "apache-3": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache-4": "See the License for the specific language governing permissions and limitations under the License.",
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl2-notice": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-2": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-old-1": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl-2": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-2": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "unlicense-1": "This is free and unencumbered software released into the public domain.",
+    "unlicense-2": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsl-1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
     "bsd-1": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-2": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-3": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-4": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-5": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "bsd-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-notice": "Licensed under CC BY 4.0.",
@@ -46,6 +63,17 @@ SENTENCES = {
     "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 RULES = (
+    ("mit-whole", "MIT", ("mit-1", "mit-2", "mit-3", "mit-4")),
+    ("apache-whole", "Apache-2.0", ("apache-1", "apache-2", "apache-3", "apache-4")),
+    ("bsd3-whole", "BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4", "bsd-5")),
+    ("bsd3-conditions", "BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4")),
+    ("bsd2-whole", "BSD-2-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-5")),
+    ("bsd2-conditions", "BSD-2-Clause", ("bsd-1", "bsd-2", "bsd-3")),
+    ("isc-whole", "ISC", ("isc-1", "isc-2")),
+    ("mpl-header", "MPL-2.0", ("mpl-1", "mpl-2")),
+    ("unlicense-whole", "Unlicense", ("unlicense-1", "unlicense-2")),
+    ("gpl2-header", "GPL-2.0-or-later", ("gpl-old-1", "gpl-2")),
+    ("agpl3-header", "AGPL-3.0-or-later", ("agpl-1", "gpl-2")),
     ("mit-full", "MIT", ("mit-1", "mit-2", "mit-3")),
     ("mit-grant", "MIT", ("mit-1", "mit-2")),
     ("apache-header", "Apache-2.0", ("apache-1", "apache-2")),
@@ -57,8 +85,14 @@ RULES = (
     ("gpl3-notice", "GPL-3.0-only", ("gpl3-notice",)),
     ("gpl2-notice", "GPL-2.0-only", ("gpl2-notice",)),
     ("gpl3-line", "GPL-3.0-or-later", ("gpl-1",)),
-    ("bsd-conditions", "BSD", ("bsd-1",)),
-    ("bsd-notice", "BSD", ("bsd-notice",)),
+    ("gpl2-line", "GPL-2.0-or-later", ("gpl-old-1",)),
+    ("lgpl-line", "LGPL-2.1-or-later", ("lgpl-1",)),
+    ("agpl3-line", "AGPL-3.0-or-later", ("agpl-1",)),
+    ("isc-line", "ISC", ("isc-1",)),
+    ("unlicense-line", "Unlicense", ("unlicense-1",)),
+    ("bsl-line", "BSL-1.0", ("bsl-1",)),
+    ("bsd-conditions", "LicenseRef-BSD", ("bsd-1",)),
+    ("bsd-notice", "LicenseRef-BSD", ("bsd-notice",)),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", ("cc-by-nc-notice",)),
     ("cc-by-notice", "CC-BY-4.0", ("cc-by-notice",)),
     ("cc-by-sa-notice", "CC-BY-SA-4.0", ("cc-by-sa-notice",)),

@@ -24,7 +24,7 @@ def test_wrapped_headers(mark, width, line_break):
     assert scan(f"The MIT License (MIT){line_break}{header('mit-1', 'mit-2', 'mit-3')}") == [("MIT", "mit-full")]
     assert scan(header("gpl-1", "gpl-2")) == [("GPL-3.0-or-later", "gpl3-header")]
     assert scan(header("apache-1", "apache-2") + "http://www.apache.org/") == [("Apache-2.0", "apache-header")]
-    assert scan(header("bsd-1") + "1. Redistributions") == [("BSD", "bsd-conditions")]
+    assert scan(header("bsd-1") + "1. Redistributions") == [("LicenseRef-BSD", "bsd-conditions")]
 
 
 def test_comment_marks_and_ends():
