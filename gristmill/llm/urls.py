@@ -3,16 +3,17 @@
 Explicit rules come first, the longest that fits. For the other pages a tree of path templates
 is grown per host: segments with digits or of great length become typed wildcards, and rare
 literals under a busy parent become `{w}`. Every node counts its pages and those that the rules
-label as blocked. Walking down from the host, a node whose blocked share does not differ
-significantly from its parent's is merged with its siblings (it takes the parent's purity);
-otherwise its own purity counts, smoothed towards the parent's. Templates whose smoothed purity
-of blocked pages reaches the limit are rejected.
+label as blocked. Walking down from the host, a branch's blocked share is tested against that of
+its sibling branches (two proportions, pooled): branches that do not differ significantly are
+merged and share their parent's purity; one that differs has its own, smoothed towards the
+parent's. A branch without a label resembles nothing: it has the prior. Templates whose smoothed
+purity of blocked pages reaches the limit are rejected.
 
 Only the aggregated templates are joined back, never one host's pages with each other; a hot
 host is summed before the shuffle and its pages are split by AQE's skew join.
 
 Defined cases: null url or one without `://` has empty host and path and is judged by its
-template like any other; segments beyond max_depth fall into one wildcard; no labels at all
+template like any other; the last level's segment is all that remains of the path, so no depth is lost; no labels at all
 leave the prior, which allows; repeated rows are judged alike; an empty table gives no rows.
 """
 
@@ -31,7 +32,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 @dataclass(frozen=True)
 class UrlParams:
-    max_depth: int = 3
+    #: Levels of the tree; the last holds the rest of the path.
+    max_depth: int = 4
     rare_share: float = 0.01
     busy_children: int = 20
     z: float = 1.96
@@ -60,13 +62,13 @@ def _steps(pages: str, rules, p: UrlParams, spark: bool) -> list[tuple[str, str]
         shape = shape.replace("regexp_like", "regexp_matches")
         segs = f"list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shape})"
         seg = lambda i: f"CASE WHEN len(segs) >= {i} THEN segs[{i}] END"
-        deeper = f"len(segs) > {p.max_depth}"
+        rest = f"CASE WHEN len(segs) >= {p.max_depth} THEN array_to_string(segs[{p.max_depth}:], '/') END"
     else:
         segs = f"transform(filter(split(path, '/'), s -> s <> ''), s -> {shape})"
         seg = lambda i: f"CASE WHEN size(segs) >= {i} THEN segs[{i - 1}] END"
-        deeper = f"size(segs) > {p.max_depth}"
+        rest = f"CASE WHEN size(segs) >= {p.max_depth} THEN array_join(slice(segs, {p.max_depth}, size(segs)), '/') END"
     d = p.max_depth
-    s0 = ", ".join(f"{seg(i)} AS s{i}" if i < d else f"CASE WHEN {deeper} THEN '{{*}}' ELSE {seg(i)} END AS s{i}" for i in range(1, d + 1))
+    s0 = ", ".join(f"{seg(i) if i < d else rest} AS s{i}" for i in range(1, d + 1))
     every = ", ".join(f"s{i}" for i in range(1, d + 1))
     find = "instr" if spark else "strpos"
     steps = [
@@ -88,14 +90,15 @@ def _steps(pages: str, rules, p: UrlParams, spark: bool) -> list[tuple[str, str]
             (f"r{i}", f"SELECT a.{both.replace(', ', ', a.')}, a.s{i}, CASE WHEN {rare} THEN '{{w}}' ELSE a.s{i} END AS g{i} FROM c{i} a JOIN u{i} b ON {on}"),
             (f"t{i}", f"SELECT a.*, b.g{i} FROM t{i - 1} a JOIN r{i} b ON {on} AND a.s{i} IS NOT DISTINCT FROM b.s{i}"),
         ]
-    # purity from the host down; a node that is like its parent takes the parent's
+    # purity from the host down; a branch that is like its siblings takes the parent's
     steps.append(("q0", f"SELECT host, sum(n) AS n, sum(k) AS k, (sum(k) + {p.smoothing} * {p.prior}) / (sum(n) + {p.smoothing}) AS purity FROM t{d} GROUP BY host"))
     for i in range(1, d + 1):
         keys = ["host", *(f"g{j}" for j in range(1, i + 1))]
         on = " AND ".join(["a.host = b.host", *(f"a.g{j} IS NOT DISTINCT FROM b.g{j}" for j in range(1, i))])
-        rate, up = "(CAST(a.k AS DOUBLE) / nullif(a.n, 0))", "(CAST(b.k AS DOUBLE) / nullif(b.n, 0))"
-        se = f"sqrt({up} * (1.0 - {up}) * (1.0 / nullif(a.n, 0) + 1.0 / nullif(b.n, 0)))"
-        purity = f"""CASE WHEN a.n = 0 THEN b.purity WHEN abs({rate} - {up}) <= {p.z} * {se} THEN b.purity
+        rate, others = "(CAST(a.k AS DOUBLE) / a.n)", "(CAST(b.k - a.k AS DOUBLE) / nullif(b.n - a.n, 0))"
+        pooled = "(CAST(b.k AS DOUBLE) / b.n)"
+        se = f"sqrt({pooled} * (1.0 - {pooled}) * (1.0 / a.n + 1.0 / nullif(b.n - a.n, 0)))"
+        purity = f"""CASE WHEN a.n = 0 THEN CAST({p.prior} AS DOUBLE) WHEN b.n = a.n OR abs({rate} - {others}) <= {p.z} * {se} THEN b.purity
                      ELSE (a.k + {p.smoothing} * b.purity) / (a.n + {p.smoothing}) END AS purity"""
         steps += [
             (f"m{i}", f"SELECT {', '.join(keys)}, sum(n) AS n, sum(k) AS k FROM t{d} GROUP BY {', '.join(keys)}"),

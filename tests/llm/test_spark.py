@@ -305,8 +305,21 @@ def test_urls(spark):
         4: ("b.org", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("b.com", "", None, "allow"), 8: ("q.com", "/z://w.net/es/", "com/", "allow"),
     }
     assert urls.url_filter(df).count() == 9 and urls.url_filter(df.where("false")).count() == 0
+    # a branch without labels resembles no labelled sibling: it has the prior, which allows
     mixed = [(i, f"x://h.net/{'es' if i % 10 else 'ok'}/p{i}") for i in range(200)] + [(900, "x://h.net/zz/p9")]
-    assert {r.verdict for r in urls.url_filter(spark.createDataFrame(mixed, "page_id long, url string")).where("page_id = 900").collect()} == {"block"}
+    assert {r.verdict for r in urls.url_filter(spark.createDataFrame(mixed, "page_id long, url string")).where("page_id = 900").collect()} == {"allow"}
+
+
+def test_url_branches_are_judged_apart_and_like_siblings_together(spark):
+    rules = tuple(("h.net", f"/{top}/{leaf}/x", verdict) for top in ("bad", "bad2") for leaf in "abc" for verdict in ("block",)) + (("h.net", "/good/a/x", "allow"),)
+    pages, n = [], 0
+    for path, count in (("/bad/a/x", 40), ("/bad/b/x", 1), ("/bad2/c/x", 1), ("/good/a/x", 40)):
+        pages += [(n := n + 1, f"x://h.net{path}{i}") for i in range(count)]
+    asked = {1001: "/bad/a/y7", 1002: "/good/a/y7", 1003: "/bad/none/y", 1004: "/deep/a/b/c/d/e", 1005: "/deep/a/b/c/d/f"}
+    pages += [(i, f"x://h.net{path}") for i, path in asked.items()]
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert {i: got[i].verdict for i in asked} == {1001: "block", 1002: "allow", 1003: "allow", 1004: "allow", 1005: "allow"}
+    assert got[1004].template == "/deep/a/b/c/d/e" and got[1005].template == "/deep/a/b/c/d/f"
 
 
 def test_extra_columns_with_clashing_names(spark, docs, rows):
