@@ -32,6 +32,10 @@ VOCAB = "byte_bpe_50k.json"
 CACHE, CACHED_LEN = 300_000, 64
 #: The pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone.
+_ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+#: Words of this length are cut by a vectorised look-up, shorter ones in a loop.
+VECTOR = 64
 _WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -75,8 +79,8 @@ class ForcedBoundaryBpe:
         if by_id and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
             import tiktoken  # merges rank as their ids: the faster encoder gives the same ids
 
-            ranks = {token: i for i, token in enumerate(self.token_bytes) if token}
-            self.core = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.ranks = {token: i for i, token in enumerate(self.token_bytes) if token}
+            self.core = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         for x in spec["added_tokens"]:
             self.token_bytes[x["id"]] = x["content"].encode()
         self.decimal = [str(i) for i in range(size)]
@@ -84,6 +88,7 @@ class ForcedBoundaryBpe:
         left = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0x80, 0xC0)])
         #: Pairs of bytes that no token holds side by side.
         self.forced = ~inside
+        self.forced_flat = self.forced.tobytes()
         self.cuts = self.forced & left[:, None] & right[None, :]
         #: For texts with white space beyond ASCII, whose last byte is a continuation byte.
         self.ascii_cuts = self.cuts & (np.arange(256) < 0x80)[:, None]
@@ -93,14 +98,29 @@ class ForcedBoundaryBpe:
         text = fragment.decode("utf-8")
         if self.core is None:
             return tuple(self.model.encode(text, add_special_tokens=False).ids)
-        words = (word.translate(self.letters).encode("latin-1") for word, _ in self.model.pre_tokenizer.pre_tokenize_str(text))
-        return tuple(chain.from_iterable(self.core._encode_single_piece(x) for word in words for x in self.pieces(word)))
+        if text.isascii():
+            words = _ASCII_WORD.findall(fragment)
+        else:
+            words = [word.translate(self.letters).encode("latin-1") for word, _ in self.model.pre_tokenizer.pre_tokenize_str(text)]
+        encode = self.core._core_bpe.encode_single_piece
+        ids: list[int] = []
+        for word in words:
+            if word in self.ranks:
+                ids.append(self.ranks[word])
+            else:
+                for piece in self.pieces(word):
+                    ids += encode(piece)
+        return tuple(ids)
 
     def pieces(self, word: bytes) -> list[bytes]:
         """A pre-token cut at every forced pair."""
-        view = np.frombuffer(word, np.uint8)
-        ends = (np.flatnonzero(self.forced[view[:-1], view[1:]]) + 1).tolist()
-        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
+        if len(word) < VECTOR:
+            table = self.forced_flat
+            ends = [i + 1 for i, (a, b) in enumerate(zip(word, word[1:])) if table[a << 8 | b]]
+        else:
+            view = np.frombuffer(word, np.uint8)
+            ends = (np.flatnonzero(self.forced[view[:-1], view[1:]]) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])] if ends else [word]
 
     def fragments(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "replace")
