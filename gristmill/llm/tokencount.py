@@ -1,6 +1,6 @@
 """Token counts by separator scan (operator 5).
 
-A token file is a flat run of 16-bit ids, documents ended by one identifier, without an index.
+A token file is a flat run of ids of 2 or 4 bytes, little-endian, documents ended by one identifier, without an index.
 Files are read as fixed-size blocks that ignore document boundaries. Each block is searched with
 one vectorised comparison and reduced to a summary: its length, its separators, the ids before
 the first and after the last, and the lengths between. A two-level prefix scan over the
@@ -27,17 +27,26 @@ BLOCK_IDS = 1 << 15
 GROUP_BLOCKS = 1024
 
 
-def write_token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOCK_IDS, eos: int = EOS) -> tuple[DataFrame, DataFrame]:
+def id_type(width: int) -> str:
+    """numpy's name of an id of that many bytes."""
+    if width not in (2, 4):
+        raise ValueError("ids have 2 or 4 bytes")
+    return f"<u{width}"
+
+
+def write_token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOCK_IDS, eos: int = EOS, width: int = 2) -> tuple[DataFrame, DataFrame]:
     """Flat token files, as tables: blocks (file, block, data) and the order of documents (file, ordinal, doc_id).
 
     Each task writes one file; a block is cut every block_ids ids wherever documents end.
     """
-    path = path or vocab_path()
+    path, kind_of_id = path or vocab_path(), id_type(width)
 
     def run(batches):
         from pyspark import TaskContext
 
         bpe = encoder(path, special=False)
+        if max(len(bpe.token_bytes) - 1, eos) >= 1 << 8 * width:
+            raise ValueError(f"ids of this vocabulary do not fit in {width} bytes")
         name = f"part-{TaskContext.get().partitionId():06d}"
         pending, held, block, ordinal = [], 0, 0, 0
         kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
@@ -52,7 +61,7 @@ def write_token_blocks(docs: DataFrame, path: str | None = None, block_ids: int
                 part = batch.slice(at, 256)
                 ids = part.column(0).to_pylist()
                 for text in part.column(1).to_pylist():
-                    x = np.array([*bpe.encode(text), eos], np.uint16)
+                    x = np.array([*bpe.encode(text), eos], kind_of_id)
                     pending.append(x)
                     held += len(x)
                 yield row("order", list(range(ordinal, ordinal + len(ids))), [None] * len(ids), ids)
@@ -75,16 +84,27 @@ def write_token_blocks(docs: DataFrame, path: str | None = None, block_ids: int
     )
 
 
-def read_token_files(spark, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of existing flat files (uint16, little-endian) of moderate size, by Spark's binary file source."""
-    width = 2 * block_ids
-    return spark.read.format("binaryFile").load(path).where("length > 0").selectExpr(
-        "path AS file", "content", f"explode(sequence(0L, (length - 1) div {width})) AS block"
-    ).selectExpr("file", "block", f"substring(content, CAST(block * {width} + 1 AS INT), {width}) AS data")
+def read_token_files(spark, path: str, block_ids: int = BLOCK_IDS, width: int = 2) -> DataFrame:
+    """Blocks of existing flat files, by Spark's binary file source: a file, of up to 2 GB, is read once, by one task."""
+    id_type(width)
+    size = width * block_ids
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            for file, content in zip(*batch.columns):
+                name, view = file.as_py(), memoryview(content.as_buffer())
+                for block, at in enumerate(range(0, len(view), size)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([bytes(view[at : at + size])], pa.binary())], names=["file", "block", "data"])
+
+        return step
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return map_rows(files, "file string, block long, data binary", make)
 
 
-def summaries(blocks: DataFrame, eos: int = EOS) -> DataFrame:
+def summaries(blocks: DataFrame, eos: int = EOS, width: int = 2) -> DataFrame:
     """(file, block, n, seps, head, tail, inner): what a block contributes."""
+    kind_of_id = id_type(width)
     schema = "file string, block long, n long, seps long, head long, tail long, inner array<long>"
 
     def make():
@@ -93,7 +113,7 @@ def summaries(blocks: DataFrame, eos: int = EOS) -> DataFrame:
         def step(batch: pa.RecordBatch):
             rows = []
             for data in batch.column(2).to_pylist():
-                ids = np.frombuffer(data or b"", "<u2")
+                ids = np.frombuffer(data or b"", kind_of_id)
                 ends = np.flatnonzero(ids == eos)
                 if len(ends):
                     rows.append((len(ids), len(ends), int(ends[0]), len(ids) - 1 - int(ends[-1]), (np.diff(ends) - 1).tolist()))
@@ -109,9 +129,9 @@ def summaries(blocks: DataFrame, eos: int = EOS) -> DataFrame:
     return map_rows(blocks.select("file", "block", "data"), schema, make)
 
 
-def document_lengths(blocks: DataFrame, eos: int = EOS) -> DataFrame:
+def document_lengths(blocks: DataFrame, eos: int = EOS, width: int = 2) -> DataFrame:
     """(file, ordinal, n_tokens) of every document in flat token files."""
-    parts, _ = materialize(summaries(blocks, eos), "summaries")
+    parts, _ = materialize(summaries(blocks, eos, width), "summaries")
     grouped = parts.withColumn("grp", F.expr(f"block div {GROUP_BLOCKS}"))
     inside = Window.partitionBy("file", "grp").orderBy("block")
     # `done` is the position just behind the last separator so far, relative to the group's start
