@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 100_000
 #: The same for rows of one or two numbers.
 BROADCAST_NUMBERS = 1_000_000
+#: Tables that Spark takes to be larger are not broadcast unasked. It goes by compressed files and counts an array as one value, so true sizes are up to a hundred times that.
+BROADCAST_BYTES = 256 << 10
 
 _own_dir: list[str] = []
 
@@ -40,6 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+@contextmanager
+def few_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside broadcast tables of up to BROADCAST_BYTES, or of what the session allows if that is less."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    allowed = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if allowed <= BROADCAST_BYTES:
+        yield
+        return
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BROADCAST_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: the lineage ends there.
 
@@ -50,7 +69,8 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> t
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with few_broadcasts(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -268,4 +268,4 @@ def keep_one_alike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     discard(spark, path, first_path)
     release(spark)
     # few rows go, so their numbers are sent rather than all texts moved
-    return numbered.join(F.broadcast(gone) if small_enough(gone, BROADCAST_NUMBERS) else gone, numbered[number] == gone["__gone"], "left_anti").drop(number)
+    return numbered.join(F.broadcast(gone) if small_enough(gone, BROADCAST_NUMBERS) else gone.hint("merge"), numbered[number] == gone["__gone"], "left_anti").drop(number)

@@ -107,7 +107,8 @@ def near_links(reps: DataFrame) -> tuple[DataFrame, str]:
     probes = balls.select("fp", "rep", F.when(F.col("i") <= SEGMENT, key(value, 0)).otherwise(key(value, 1)).alias("key"))
     any_hot = not hot.isEmpty()
     plain = table.join(hot, "key", "left_anti") if any_hot else table
-    found = probes.select("key", F.col("rep").alias("a"), F.col("fp").alias("fa")).join(plain.select("key", F.col("rep").alias("b"), F.col("fp").alias("fb")), "key").drop("key")
+    # the hint: Spark takes the probes, 34 a row, for one a row, and would broadcast them
+    found = probes.select("key", F.col("rep").alias("a"), F.col("fp").alias("fa")).join(plain.select("key", F.col("rep").alias("b"), F.col("fp").alias("fb")).hint("merge"), "key").drop("key")
     if any_hot:
         crowd, crowd_path = materialize(probes.join(hot, "key", "left_semi").select("fp", "rep").distinct(), "crowd")
         found = found.union(_ball_links(crowd))
