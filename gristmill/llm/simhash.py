@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("class")), "classes"
     )
     discard(spark, reps_path, links_path, *roots_paths)
-    known = fps.join(classes, "fp", "left")
+    known = fps.join(classes.hint("merge"), "fp", "left")  # planned by the caller, whose session may broadcast large tables
     return known.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("component_id"))
 
 

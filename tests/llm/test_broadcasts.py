@@ -44,3 +44,11 @@ def test_near_dedup_broadcasts_no_large_table(default_session):
     got = []
     assert largest_broadcast(spark, lambda: got.extend(r.doc_id for r in neardup.keep_one_alike(docs).select("doc_id").collect())) <= 50_000
     assert len(got) == len(set(got)) and 11000 < len(got) <= 12000 and max(got) < 12000
+
+
+def test_simhash_broadcasts_no_large_table(default_session):
+    rng, spark = random.Random(4), default_session
+    docs = spark.createDataFrame([(i, " ".join(str(rng.randint(0, 999)) for _ in range(6))) for i in range(12000)], "doc_id long, text string")
+    got = []
+    assert largest_broadcast(spark, lambda: got.extend(simhash.near_duplicates(docs).collect())) <= 50_000
+    assert len(got) == 12000
