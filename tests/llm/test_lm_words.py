@@ -159,10 +159,11 @@ def test_words_of_a_class_sum_to_one_after_any_context():
 def test_words_of_equal_count_are_told_apart_by_context(spark):
     """Forty pairs of words, all as frequent: only the word before tells which comes."""
     rng = random.Random(5)
-    pairs = [(f"a{i}", f"b{i}") for i in range(40)]
-    rows = [(i, " ".join(w for x in rng.sample(pairs, 40) for w in x)) for i in range(150)]
+    pairs = [(f"a{i}xx", f"b{i}xx") for i in range(40)]  # one ending
+    common = " ".join(f"f{i}" for i in range(20))  # words frequent enough for classes of their own
+    rows = [(i, f"{common} {common} " + " ".join(w for x in rng.sample(pairs, 40) for w in x)) for i in range(150)]
     right, wrong = [i for i in range(10_000, 10_100) if lm._is_held(i, lm.LmParams())][:2]
-    ends = [(right, " ".join(f"a{i} b{i}" for i in range(40))), (wrong, " ".join(f"a{i} b{(i + 1) % 40}" for i in range(40)))]
+    ends = [(right, " ".join(f"a{i}xx b{i}xx" for i in range(40))), (wrong, " ".join(f"a{i}xx b{(i + 1) % 40}xx" for i in range(40)))]
     got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows + ends, DOCS)).collect()}
     # class and word alone: the two differ little; a word's five branchings by context: more than half a digit a pair
     assert got[right] > got[wrong] + 20
