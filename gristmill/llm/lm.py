@@ -38,18 +38,21 @@ from __future__ import annotations
 import time
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import BROADCAST_ROWS, bound_batches, discard, map_rows, materialize, release
 
 END = "\n"  # no word holds a line break
+TILE = 1 << 12  # tokens whose class scores are in a core's cache
 CLEANING_S = 3  # Spark removes the shuffle files that it is let go of in the background: that of the texts waits for it
 BLOCK = "block long, doc_ids array<long>, lens binary, held binary, ids binary, words array<long>, counts array<int>, tails binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -131,16 +134,19 @@ class Features:
     def __init__(self, p: LmParams, lens: bytes, ids: bytes, hashes: np.ndarray):
         self.lens = np.frombuffer(lens, np.int32).astype(np.int64)
         self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
-        word = hashes.view(np.uint32).astype(np.uint64) + np.uint64(1)
-        here = word[self.ids]
-        place = np.arange(len(here)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
-        zero = np.uint64(0)
-        one = np.where(place > 0, np.concatenate(([zero], here[:-1])), zero)
-        two = np.where(place > 1, np.concatenate(([zero, zero], here[:-2]))[: len(here)], zero)
-        mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(p.buckets)
-        keys = (one * np.uint64(3), one * np.uint64(0x100000001B3) ^ two * np.uint64(0x1000193), two * np.uint64(7) + np.uint64(5))
-        self.features = np.stack([mix(k).astype(np.uint16) for k in keys])
-        self.contexts = [((k * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32) for k in keys] if p.top_words is None else []
+        word = np.append(hashes.view(np.uint32).astype(np.uint64) + np.uint64(1), np.uint64(0))  # the last: no word
+        first = np.cumsum(self.lens) - self.lens
+        before, earlier = np.empty((2, len(self.ids)), np.intp)  # places in word of the last word and of that before
+        for to, source in ((before, self.ids), (earlier, before)):
+            to[1:] = source[:-1]
+            to[first] = len(hashes)
+        mix = lambda x: (((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.uint32) % np.uint32(p.buckets)).astype(np.uint16)
+        spread = lambda x: ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
+        one, two = word * np.uint64(3), word * np.uint64(7) + np.uint64(5)  # a key a word, looked up for each token
+        pair = (word * np.uint64(0x100000001B3))[before]
+        pair ^= (word * np.uint64(0x1000193))[earlier]
+        self.features = np.stack([mix(one)[before], mix(pair), mix(two)[earlier]])
+        self.contexts = [spread(one)[before], spread(pair), spread(two)[earlier]] if p.top_words is None else []
 
 
 def class_scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,19 +214,31 @@ def branchings(x: Features, rank: np.ndarray, klass: np.ndarray, ranks: Ranks, s
             break
         half = kind(1 << level)
         upper = place[:n] >> kind(level)
-        mid = ((upper | kind(1)) << kind(level))
-        node = ((base[:n] + mid) * kind(0x9E3779B1)).astype(np.uint32) ^ np.uint32(level * 0x85EBCA6B & 0xFFFFFFFF)
-        slots = [(((c[:n] ^ node) * np.uint32(0x9E3779B1)) >> shift).astype(np.intp) for c in contexts]
+        mid = upper | kind(1)
+        mid <<= kind(level)
+        node = base[:n] + mid
+        node *= kind(0x9E3779B1)
+        node = node.astype(np.uint32, copy=False)
+        node ^= np.uint32(level * 0x85EBCA6B & 0xFFFFFFFF)
+        slots = []
+        for c in contexts:
+            mixed = c[:n] ^ node
+            mixed *= np.uint32(0x9E3779B1)
+            mixed >>= shift
+            slots.append(mixed.astype(np.intp))
         uneven = np.flatnonzero(mid + half > size[:n])
         above = np.maximum(size[uneven], mid[uneven]) - mid[uneven]
         with np.errstate(divide="ignore"):
             lift = np.log(above / float(half)).astype(np.float32)
-        yield order[:n], slots, (upper & kind(1)).astype(bool), uneven, lift
+        upper &= kind(1)
+        yield order[:n], slots, upper.astype(bool), uneven, lift
 
 
 def _lifted(slots: list[np.ndarray], uneven: np.ndarray, lift: np.ndarray, lambdas: np.ndarray) -> np.ndarray:
     """Log odds of the upper side."""
-    z = lambdas[slots[0]] + lambdas[slots[1]] + lambdas[slots[2]]
+    z = np.take(lambdas, slots[0], mode="clip")  # all slots are in range: clip spares the search for others
+    z += np.take(lambdas, slots[1], mode="clip")
+    z += np.take(lambdas, slots[2], mode="clip")
     z[uneven] += lift
     return z
 
@@ -256,6 +274,9 @@ def _counts_pass(blocks: DataFrame, ranks, p: LmParams, model) -> tuple[np.ndarr
 
     def run(batches):
         total, bias, sides = (np.zeros(shape) for shape in shapes)
+        both = np.zeros(slots, np.int64)  # of a block: branchings, and upper sides times 2 ** 32
+        pairs = -(-p.classes // 2)  # of classes, summed as complex numbers: one addition for both
+        columns, two = np.zeros((pairs, 0 if model is None else p.chunk), np.complex128), np.zeros((pairs, p.buckets), np.complex128)
         known = ranks.value if ranks is not None else None
         *weights, lambdas = model.value if model is not None else (None,)
         for batch in batches:
@@ -266,19 +287,24 @@ def _counts_pass(blocks: DataFrame, ranks, p: LmParams, model) -> tuple[np.ndarr
                 label = klass[x.ids]
                 for a in range(0, len(keep), p.chunk):
                     some = keep[a : a + p.chunk]
-                    f = x.features[:, some]
+                    f = x.features[:, some].astype(np.intp)
                     if not weights:
                         c = label[some]
                         bias += np.bincount(c, minlength=p.classes)
                         for one in f:
-                            total += np.bincount(c * p.buckets + one, minlength=total.size).reshape(total.shape)
+                            np.add.at(total.reshape(-1), c * p.buckets + one, 1.0)
                     else:
-                        _, prob, norm = class_scores(*weights, f)
-                        prob *= (1 / norm)[:, None]
-                        for c, column in enumerate(np.ascontiguousarray(prob.T)):  # one class at a time: contiguous
-                            bias[c] += column.sum(dtype=np.float64)
+                        n = len(some)
+                        for b in range(0, n, TILE):
+                            _, prob, norm = class_scores(*weights, f[:, b : b + TILE])
+                            prob *= (1 / norm)[:, None]
+                            if p.classes % 2:
+                                prob = np.pad(prob, ((0, 0), (0, 1)))
+                            columns[:, b : min(b + TILE, n)] = prob.view(np.complex64).T
+                        for to, column in zip(two, columns[:, :n]):
                             for one in f:
-                                total[c] += np.bincount(one, column, p.buckets)
+                                np.add.at(to, one, column)
+                        bias += columns[:, :n].sum(axis=1).view(np.float64)[: p.classes]
                 for a in range(0, len(keep) if known is not None else 0, p.tree_chunk):
                     for _, places, up, uneven, lift in branchings(x, rank, klass, known, keep[a : a + p.tree_chunk], p):
                         if weights:
@@ -286,13 +312,22 @@ def _counts_pass(blocks: DataFrame, ranks, p: LmParams, model) -> tuple[np.ndarr
                             for one in places:
                                 np.add.at(sides[0], one, chance)
                             continue
-                        high, lone, odd = np.flatnonzero(up), uneven[np.isneginf(lift)], 1 / (1 + np.exp(-lift.astype(np.float64))) - 0.5
+                        alone = np.isneginf(lift)  # no branching
+                        step = up.astype(np.int64)
+                        step <<= 32
+                        step += 1
+                        step[uneven[alone]] = 0
+                        uneven, lift = uneven[~alone], lift[~alone]
+                        odd = 1 / (1 + np.exp(-lift.astype(np.float64))) - 0.5
                         for one in places:
-                            np.add.at(sides[0], one, 1.0)
-                            np.add.at(sides[0], one[lone], -1.0)  # no branching
-                            np.add.at(sides[1], one[high], 1.0)
+                            np.add.at(both, one, step)
                             np.add.at(sides[2], one[uneven], odd)
-                            np.add.at(sides[2], one[lone], 0.5)
+                if not weights:  # a token is at few branchings of one slot, a text has under 2 ** 30 tokens: no overflow
+                    sides[0] += both & 0xFFFFFFFF
+                    sides[1] += both >> 32
+                    both[:] = 0
+        if model is not None:
+            total = np.stack((two.real, two.imag), axis=1).reshape(-1, p.buckets)[: p.classes]
         flat = np.concatenate([v.ravel() for v in (total, bias, sides)]).astype(np.float32)  # of one task: sums are double
         for i, part in enumerate(np.array_split(flat, p.parts)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], names=["part", "data"])
@@ -334,14 +369,14 @@ def train(blocks: DataFrame, ranks, p: LmParams) -> tuple[np.ndarray, np.ndarray
     lambdas = (logit((ups + 20 * usual) / (visits + 20)) - logit(usual)) / 3
     for _ in range(p.rounds):
         release(spark)
-        sent = spark.sparkContext.broadcast((weights.astype(np.float32), bias.astype(np.float32), lambdas.astype(np.float32)))
+        sent = spark.sparkContext.broadcast((np.ascontiguousarray(weights, np.float32), bias.astype(np.float32), lambdas.astype(np.float32)))
         expected, expected_classes, (upper,) = _counts_pass(blocks, ranks, p, sent)
         weights = weights + np.clip((observed - expected) / (expected + 10), -1, 1) / 3
         bias = bias + np.clip((classes - expected_classes) / (expected_classes + 10), -1, 1) / 3
         curve = upper * (1 - upper / np.maximum(visits, 1))  # at least the variance
         lambdas = lambdas + np.clip((ups - upper) / (np.maximum(curve, 0) + 10), -1, 1) / 3
         sent.destroy()
-    return weights.astype(np.float32), bias.astype(np.float32), lambdas.astype(np.float32)
+    return np.ascontiguousarray(weights, np.float32), bias.astype(np.float32), lambdas.astype(np.float32)
 
 
 def rank_words(counts: DataFrame, sizes: dict[int, int], p: LmParams) -> DataFrame:
@@ -369,13 +404,31 @@ def rank_words(counts: DataFrame, sizes: dict[int, int], p: LmParams) -> DataFra
     return keyed.select("word", "c", "g", number.alias("i")).join(starts, ["c", "g"]).select("word", (F.col("start") + F.col("i") - 1).alias("code"))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as it ends, not whenever the driver's garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def score_documents(docs: DataFrame, p: LmParams = LmParams()) -> DataFrame:
+    with shuffles_removed(docs.sparkSession):
+        return _scored(docs, p)
+
+
+def _scored(docs: DataFrame, p: LmParams) -> DataFrame:
     spark = docs.sparkSession
     blocks, blocks_path = materialize(token_blocks(docs, p), "blocks")
+    tail = [] if p.top_words is None else [F.ascii(F.substring("tails", F.col("at") + 1, F.lit(1))).alias("tail")]
     entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e"), "tails").select(
-        "block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("n"), F.ascii(F.substring("tails", F.col("at") + 1, F.lit(1))).alias("tail")
+        "block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("n"), *tail
     )
-    counts = entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.min("tail").alias("tail"))
+    counts = entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), *(F.min("tail").alias("tail") for _ in tail))
     counts, counts_path = materialize(counts, "counts")
     release(spark)
     sizes = {r.c: r.n for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row a count: at most the root of twice the tokens
@@ -421,17 +474,18 @@ def score_documents(docs: DataFrame, p: LmParams = LmParams()) -> DataFrame:
                 base = np.log10((count + 1) / (n_all + v_all + 1))
                 inside = np.log((count + 1) / (n_k + v_k + 1)[klass]) if known is None else None
                 score = np.empty(len(x.ids))
-                for a in range(0, len(x.ids), p.chunk):
-                    some = x.ids[a : a + p.chunk]
-                    logits, _, norm = class_scores(weights, bias, x.features[:, a : a + p.chunk])
-                    score[a : a + p.chunk] = logits[np.arange(len(some)), klass[some]] - np.log(norm)
+                for a in range(0, len(x.ids), TILE):
+                    some = x.ids[a : a + TILE]
+                    logits, _, norm = class_scores(weights, bias, x.features[:, a : a + TILE].astype(np.intp))
+                    score[a : a + TILE] = logits[np.arange(len(some)), klass[some]] - np.log(norm)
                 if known is None:
                     score += inside[x.ids]
                 for a in range(0, len(x.ids) if known is not None else 0, p.tree_chunk):
                     part = score[a : a + p.tree_chunk]
                     for tokens, places, up, uneven, lift in branchings(x, rank, klass, known, np.arange(a, a + len(part)), p):
                         z = _lifted(places, uneven, lift, lambdas)
-                        part[tokens] -= np.log1p(np.exp(np.where(up, -z, z)))
+                        np.negative(z, out=z, where=up)
+                        part[tokens] -= np.log1p(np.exp(z, out=z), out=z)
                 first = np.cumsum(x.lens) - x.lens
                 total = lambda v: np.add.reduceat(v, first) if len(first) else np.zeros(0)
                 n = len(first)

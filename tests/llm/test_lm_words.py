@@ -1,9 +1,11 @@
 """The word level of op2's model: classes from training counts, words within a class by context."""
 
 import random
+import time
 import zlib
 from collections import Counter
 from math import exp, log
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -167,3 +169,30 @@ def test_words_of_equal_count_are_told_apart_by_context(spark):
     got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows + ends, DOCS)).collect()}
     # class and word alone: the two differ little; a word's five branchings by context: more than half a digit a pair
     assert got[right] > got[wrong] + 20
+
+
+def test_scores_equal_definition_with_an_odd_number_of_classes(spark):
+    rows = texts(30, seed=4)
+    p = lm.LmParams(block_bytes=300, buckets=64, classes=5, slot_bits=9, chunk=50, tree_chunk=20)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in lm.score_documents(spark.createDataFrame(rows, DOCS), p).collect())
+    want = sorted((i if i is not None else -1, s) for (i, _), s in zip(rows, slow_scores(rows, p)))
+    assert got == [(i, pytest.approx(s, rel=1e-4)) for i, s in want]
+
+
+def test_shuffle_files_go_without_garbage_collection_and_weights_are_rows(spark, monkeypatch):
+    """Files of finished steps would be on disk beside those of later ones; columns would be copied for every few tokens."""
+    folders = [Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f.name for x in folders for f in x.rglob("shuffle_*.data")}
+    learnt, train, before = [], lm.train, files()
+    monkeypatch.setattr(lm, "train", lambda *a: learnt.append(train(*a)) or learnt[0])
+    monkeypatch.setattr(lm, "release", lambda spark: None)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    lm.score_documents(spark.createDataFrame(texts(), DOCS), lm.LmParams(block_bytes=300, buckets=64, classes=6))
+    for _ in range(50):  # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert learnt[0][0].flags.c_contiguous
+    assert spark.conf.get(key) == setting
