@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as fn
+from gristmill.scratch import materialize
 
 #: Query vectors that are broadcast at a time; more of them are searched in blocks.
 QUERY_BLOCK = 4096
@@ -68,8 +69,6 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int, point_id: str, vec
     blocks = -(-queries.count() // QUERY_BLOCK)
     if blocks <= 1:
         return _search_block(points, queries, k, point_id, vector, match)
-    from gristmill.llm.common import materialize
-
     found = None
     for i in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
