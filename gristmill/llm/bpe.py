@@ -112,6 +112,22 @@ class ForcedBoundaryBpe:
                     ids += encode(piece)
         return tuple(ids)
 
+    def whole_words(self, fragment: bytes) -> list[int]:
+        """The ids of a fragment that begins and ends with a pre-token, special strings as plain text, without cuts inside words."""
+        if self.core is None:
+            return self.model.encode(fragment.decode("utf-8"), add_special_tokens=False).ids
+        if fragment.isascii():
+            words = _ASCII_WORD.findall(fragment)
+        else:
+            words = [word.translate(self.letters).encode("latin-1") for word, _ in self.model.pre_tokenizer.pre_tokenize_str(fragment.decode("utf-8"))]
+        ids: list[int] = []
+        for word in words:
+            if word in self.ranks:
+                ids.append(self.ranks[word])
+            else:
+                ids += self.core._core_bpe.encode_single_piece(word)
+        return ids
+
     def pieces(self, word: bytes) -> list[bytes]:
         """A pre-token cut at every forced pair."""
         if len(word) < VECTOR:
