@@ -2,10 +2,13 @@
 
 Every document gets a few ratios. For each language and source a quantile sketch of every ratio
 is built: an HDR-style histogram whose integer bins merge by adding counts, so partial sketches
-of tasks, sources and languages combine exactly and in any order. Tukey fences around the sketch's
-quartiles replace fixed cutoffs. A source's fences are averaged with its language's, and those with
-the corpus's, by the number of documents against `borrow`, so small groups borrow smoothly. The
-fences are joined back. Ratios are counts over lengths, and short texts scatter: a document is
+of tasks, sources and languages combine exactly and in any order. Learnt fences replace fixed cutoffs:
+for the length of words, Tukey fences around the sketch's quartiles; for ratios that most texts have
+at zero (symbols, repeated lines, repeated words), whose quartiles say nothing, the `upper` percentile
+of the values above zero times the share of texts that have any, which is the rate that the group's
+own documents bear out. A source's quartiles, shares and percentiles are averaged with its language's,
+and those with the corpus's, by the number of documents that they rest on against `borrow`, so small
+groups borrow smoothly. The fences are joined back. Ratios are counts over lengths, and short texts scatter: a document is
 rejected where its count lies beyond what its length and the fence lead to expect by more than
 `deviations` standard deviations of such counts (Poisson's, in units of the events that make them).
 
@@ -34,6 +37,8 @@ METRICS = {
     "dup_lines": ("n_dup_lines", "n_lines", 10000, 1),
     "repeats": ("n_repeat_words", "n_words", 10000, 10),
 }
+#: Ratios that most texts have at zero.
+RARE = ("symbols", "dup_lines", "repeats")
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -44,6 +49,7 @@ class QualityParams:
     min_words: int = 10
     max_repeat_percent: int = 20
     fence: int = 4
+    upper: int = 95
     borrow: int = 200
     deviations: int = 6
     lang: str = "lang"
@@ -114,31 +120,36 @@ def _inside(p: QualityParams, q: str = "__q.") -> str:
     return " AND ".join(tests)
 
 
-def _learned(sketch: str, p: QualityParams, quantile: str) -> list[tuple[str, str]]:
-    """From the sketch to (g_lang, g_source, lo_<metric>, hi_<metric>), as named steps."""
+def _learned(sketch: str, p: QualityParams, value: str) -> list[tuple[str, str]]:
+    """From the sketch to (g_lang, g_source, lo_<metric>, hi_<metric>), as named steps; `value` is the lowest value of a bin."""
     out = ", ".join(f"max(CASE WHEN metric = '{k}' THEN {e} END) AS {e}_{k}" for k in METRICS for e in ("lo", "hi"))
     mix = lambda n, own, above: f"(CAST({n} AS DOUBLE) * {own} + CAST({p.borrow} AS DOUBLE) * {above}) / CAST({n} + {p.borrow} AS DOUBLE)"
+    at = lambda test: f"min(CASE WHEN {test} THEN {value} END)"
+    rare = f"metric IN ({', '.join(repr(k) for k in RARE)})"
+    parts = (("lo", "total"), ("hi", "total"), ("share", "total"), ("top", "nz"))
+    mixed = lambda: ", ".join(f"{mix(f'a.{n}', f'a.{e}', f'b.{e}')} AS {e}" for e, n in parts)
     return [
         ("level", f"""
           SELECT 2 AS lv, g_lang AS kl, g_source AS ks, metric, bin, n FROM {sketch}
           UNION ALL SELECT 1, g_lang, '', metric, bin, sum(n) FROM {sketch} GROUP BY g_lang, metric, bin
           UNION ALL SELECT 0, '', '', metric, bin, sum(n) FROM {sketch} GROUP BY metric, bin"""),
         ("run", """
-          SELECT *, sum(n) OVER (PARTITION BY lv, kl, ks, metric ORDER BY bin) AS cum,
-                 sum(n) OVER (PARTITION BY lv, kl, ks, metric) AS total FROM level"""),
+          SELECT *, sum(n) OVER (PARTITION BY lv, kl, ks, metric ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY lv, kl, ks, metric) AS total,
+                 sum(CASE WHEN bin = 0 THEN n ELSE 0 END) OVER (PARTITION BY lv, kl, ks, metric) AS zeros FROM level"""),
         ("quart", f"""
-          SELECT lv, kl, ks, metric, max(total) AS total, {quantile.format(k=1)} AS q1, {quantile.format(k=3)} AS q3
+          SELECT lv, kl, ks, metric, max(total) AS total, max(total - zeros) AS nz, {at("cum * 4 >= 1 * total")} AS q1, {at("cum * 4 >= 3 * total")} AS q3,
+                 coalesce({at(f"bin > 0 AND (cum - zeros) * 100 >= {p.upper} * (total - zeros)")}, 0) AS top
           FROM run GROUP BY lv, kl, ks, metric"""),
         ("fence", f"""
-          SELECT lv, kl, ks, metric, total, CAST(greatest(q1 - {p.fence} * (q3 - q1), 0) AS DOUBLE) AS lo,
-                 CAST(q3 + {p.fence} * (q3 - q1) AS DOUBLE) AS hi FROM quart"""),
+          SELECT lv, kl, ks, metric, total, nz, CAST(greatest(q1 - {p.fence} * (q3 - q1), 0) AS DOUBLE) AS lo, CAST(q3 + {p.fence} * (q3 - q1) AS DOUBLE) AS hi,
+                 CAST(nz AS DOUBLE) / CAST(total AS DOUBLE) AS share, CAST(top AS DOUBLE) AS top FROM quart"""),
         ("language", f"""
-          SELECT a.kl, a.metric, {mix("a.total", "a.lo", "b.lo")} AS lo, {mix("a.total", "a.hi", "b.hi")} AS hi
-          FROM fence a JOIN fence b ON b.lv = 0 AND b.metric = a.metric WHERE a.lv = 1"""),
+          SELECT a.kl, a.metric, {mixed()} FROM fence a JOIN fence b ON b.lv = 0 AND b.metric = a.metric WHERE a.lv = 1"""),
         ("source", f"""
-          SELECT a.kl AS g_lang, a.ks AS g_source, a.metric, {mix("a.total", "a.lo", "b.lo")} AS lo, {mix("a.total", "a.hi", "b.hi")} AS hi
-          FROM fence a JOIN language b ON b.kl = a.kl AND b.metric = a.metric WHERE a.lv = 2"""),
-        ("learned", f"SELECT g_lang, g_source, {out} FROM source GROUP BY g_lang, g_source"),
+          SELECT a.kl AS g_lang, a.ks AS g_source, a.metric, {mixed()} FROM fence a JOIN language b ON b.kl = a.kl AND b.metric = a.metric WHERE a.lv = 2"""),
+        ("bounds", f"""
+          SELECT g_lang, g_source, metric, CASE WHEN {rare} THEN CAST(0 AS DOUBLE) ELSE lo END AS lo, CASE WHEN {rare} THEN share * top ELSE hi END AS hi FROM source"""),
+        ("learned", f"SELECT g_lang, g_source, {out} FROM bounds GROUP BY g_lang, g_source"),
     ]
 
 
@@ -161,8 +172,8 @@ def sketches(features: DataFrame, params: QualityParams) -> DataFrame:
 
 def fences(sketch: DataFrame, params: QualityParams) -> DataFrame:
     """One row a group: lo_<metric> and hi_<metric>, those of the source, its language and the corpus averaged."""
-    quantile = "min(CASE WHEN cum * 4 >= {k} * total THEN shiftleft(bin % 64, CAST(bin div 64 AS INT)) END)"
-    steps = ", ".join(f"{name} AS ({sql})" for name, sql in _learned("{sketch}", params, quantile))
+    value = "shiftleft(bin % 64, CAST(bin div 64 AS INT))"
+    steps = ", ".join(f"{name} AS ({sql})" for name, sql in _learned("{sketch}", params, value))
     return sketch.sparkSession.sql(f"WITH {steps} SELECT * FROM learned", sketch=sketch)
 
 
@@ -210,8 +221,8 @@ def oracle() -> str:
     metric = {k: v.replace(" div ", " // ").replace("1L", "1") for k, v in _metric_columns("").items()}
     p = QualityParams()
     stack = " UNION ALL ".join(f"SELECT g_lang, g_source, '{k}' AS metric, {v} AS v FROM feat WHERE NOT base_failed" for k, v in metric.items())
-    quantile = "min(CASE WHEN cum * 4 >= {k} * total THEN (bin % 64) * CAST(pow(2, bin // 64) AS BIGINT) END)"
-    learned = ",\n    ".join(f"{name} AS ({sql})" for name, sql in _learned("sk", p, quantile))
+    value = "(bin % 64) * CAST(pow(2, bin // 64) AS BIGINT)"
+    learned = ",\n    ".join(f"{name} AS ({sql})" for name, sql in _learned("sk", p, value))
     return f"""
     WITH w AS (
       SELECT doc_id, coalesce(lang, '') AS g_lang, coalesce(source, '') AS g_source, coalesce(text, '') AS t,

@@ -20,15 +20,21 @@ def by_definition(rows, p):
                 for group in ((), (lang or "",), (lang or "", source or "")):
                     levels[group][name].append(low)
 
-    def fences(group, name):
+    def learnt(group, name):
+        """low, high, share, top of a group, averaged with those above it."""
         values = sorted(levels[group][name])
-        quart = lambda k: values[-(-k * len(values) // 4) - 1]
-        q1, q3 = quart(1), quart(3)
-        own = max(0, q1 - p.fence * (q3 - q1)), q3 + p.fence * (q3 - q1)
+        some = [v for v in values if v]
+        at = lambda vs, k, of: vs[-(-k * len(vs) // of) - 1]
+        q1, q3 = at(values, 1, 4), at(values, 3, 4)
+        own = max(0, q1 - p.fence * (q3 - q1)), q3 + p.fence * (q3 - q1), len(some) / len(values), at(some, p.upper, 100) if some else 0
         if not group:
             return own
-        n = len(values)
-        return tuple((n * o + p.borrow * a) / (n + p.borrow) for o, a in zip(own, fences(group[:-1], name)))
+        counts = len(values), len(values), len(values), len(some)
+        return tuple((n * o + p.borrow * a) / (n + p.borrow) for n, o, a in zip(counts, own, learnt(group[:-1], name)))
+
+    def fences(group, name):
+        low, high, share, top = learnt(group, name)
+        return (low, high) if name == "word_chars" else (0, share * top)
 
     kept = {}
     for i, _, lang, source in rows:
@@ -76,3 +82,11 @@ def test_sources_have_fences_of_their_own_and_small_ones_borrow(spark):
     assert high["en", "symbols"] > high["en", "plain"]
     assert len(set(high.values())) >= 4
     assert abs(high["en", "tiny"] - high["en", "plain"]) < abs(high["en", "symbols"] - 0)
+
+
+def test_fences_of_the_given_sources_differ(spark):
+    docs, p = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), quality.QualityParams()
+    learned = quality.fences(quality.sketches(quality.with_features(docs, ["lang", "source"], p), p), p).collect()
+    assert len(learned) > 20
+    for name in ("hi_symbols", "hi_dup_lines", "hi_repeats", "hi_word_len"):
+        assert min(r[name] for r in learned) > 0 and len({r[name] for r in learned}) > len(learned) / 2
