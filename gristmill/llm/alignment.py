@@ -1,23 +1,23 @@
 """Cross-tokenizer alignment by Spark's higher-order functions (operator 11).
 
-One Python step turns every text into four arrays: ids and byte ends of tokens under a byte-level
-vocabulary (A) and under a piece vocabulary (B). All that follows is expressions over those arrays.
-`array_intersect` of the end arrays gives the offsets where tokens of both end, which cut the tokens
-into groups. Both end arrays are merged by one sort; where A's token i comes in the merged order,
-less i, counts the B tokens that end before it, so each A token has the run of B tokens that share
-bytes with it, which `sequence` writes out as links. All steps take time linear in the tokens but
-for the sort. Counts of id pairs over documents are a plain aggregate of the distinct pairs of each
-document, joined back.
-
-Both tokenizers see a text in fragments cut before single spaces that follow a non-space: no token of
-A holds white space after a non-space, and B is cut there only where none of its pieces does. Ids of
-repeated fragments come from a bounded cache.
+One Python step turns texts into ids and byte ends of tokens under a byte-level vocabulary (A) and
+under a piece vocabulary (B). Both tokenizers see a text in fragments cut before single spaces that
+follow a non-space: no token of A holds white space after a non-space, and B is cut there only where
+none of its pieces does. A block of documents holds each of its fragments once, and its documents
+point to them, so that an equal fragment is tokenized and aligned once for the block.
+
+All that follows is expressions over arrays. `array_intersect` of a fragment's end arrays gives the
+offsets where tokens of both end, which cut the tokens into groups (a fragment's end always does).
+Both end arrays are merged by one sort; where A's token i comes in that order, less i, counts the B
+tokens that end before it, so each A token has the run of B tokens that share bytes with it, which
+`sequence` writes out as links. Steps take time linear in the tokens, but for the sort. Counts of id
+pairs over documents are a plain aggregate of the distinct pairs of each document, joined back.
 
 Defined cases: null and empty texts, and texts whose tokens do not spell a space and the text again
 under both vocabularies, have no tokens: zeros and an empty digest. Strings of special tokens inside
 texts are plain text. Repeated rows are documents of their own; null ids are carried; an empty table
-gives no rows; very long texts are read whole; of equal counts all links are best; other columns,
-whatever their names, play no part.
+gives no rows; very long texts are read whole, a block of their own; of equal counts all links are
+best; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from gristmill.llm.common import BROADCAST_NUMBERS, column, map_rows, materializ
 PIECES = "piece_bpe_32k.model"
 #: Entries of the fragment cache, and the longest fragment that it keeps.
 CACHE, CACHED_LEN = 300_000, 64
+#: Characters of a block of documents, but for a longer text alone.
+BLOCK_CHARS = 2_000_000
 _CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 _UNEVEN = re.compile(r"\s |^ | $")
 
@@ -44,7 +46,7 @@ _UNEVEN = re.compile(r"\s |^ | $")
 class PairTokenizer:
     """Both tokenizers, and a cache of fragments without their leading space.
 
-    It holds, as little-endian bytes, A's ids, ends, B's ids, ends, and (bytes, n_a, n_b); None where the tokens spell something else.
+    It holds A's ids and ends and B's ids and ends as little-endian bytes, n_a and n_b; None where the tokens spell something else.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -88,38 +90,32 @@ class PairTokenizer:
         spelt[spelt] = [
             b"".join(map(self.a.token_bytes.__getitem__, a_found[i])) == raw[i] == b"".join(map(self.b_bytes.__getitem__, b_found[i])) for i in np.flatnonzero(spelt)
         ]
-        sizes = np.stack([size, n_a, n_b], axis=1).astype("<i4").tobytes()
-        values = zip(a_ids, a_ends, b_ids, b_ends, (sizes[i : i + 12] for i in range(0, len(sizes), 12)))
+        values = zip(a_ids, a_ends, b_ids, b_ends, n_a.tolist(), n_b.tolist())
         return {x: value if ok else None for x, value, ok in zip(fragments, values, spelt.tolist())}
 
-    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of A's ids, A's ends, B's ids and B's ends: the values of all texts and the offset where each text begins."""
+    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[tuple], np.ndarray]:
+        """For texts taken together: each one's fragments as indexes, the distinct fragments, and (n_a, n_b) of each text; texts that are not spelt have none."""
         cut = list(map(self.fragments, texts))
-        new = list(set(chain.from_iterable(cut)).difference(self.cache))
+        place = {x: i for i, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        new = [x for x in place if x not in self.cache]
         if new:
-            learnt = self._learn(new)
-            if len(self.cache) > CACHE:
-                learnt |= {x: self.cache[x] for x in set(chain.from_iterable(cut)).intersection(self.cache)}
-                self.cache = {}
-            self.cache |= {x: v for x, v in learnt.items() if len(x) <= CACHED_LEN}
-        get = (self.cache | learnt).__getitem__ if new and any(len(x) > CACHED_LEN for x in new) else self.cache.__getitem__
-        found, starts = [], [0]
-        for fragments in cut:
-            some = list(map(get, fragments))
-            if None not in some:
-                found += some
-            starts.append(len(found))
-        columns = list(zip(*found)) or [()] * 5
-        sizes = np.frombuffer(b"".join(columns[4]), "<i4").reshape(-1, 3).astype(np.int64)
-        sums = np.vstack([np.zeros((1, 3), np.int64), np.cumsum(sizes, axis=0)])
-        first = np.array(starts)
-        base = sums[:-1, 0] - np.repeat(sums[first[:-1], 0], np.diff(first))  # of each fragment within its text
-        out = []
-        for ids, ends, n in ((0, 1, 1), (2, 3, 2)):
-            offsets = sums[first, n].astype(np.int32)
-            out.append((np.frombuffer(b"".join(columns[ids]), "<i4"), offsets))
-            out.append(((np.frombuffer(b"".join(columns[ends]), "<i4") + np.repeat(base, sizes[:, n])).astype(np.int32), offsets))
-        return out
+            if len(self.cache) + len(new) > CACHE:
+                self.cache = {x: self.cache[x] for x in place if x in self.cache}
+            self.cache |= self._learn(new)
+        found = list(map(self.cache.__getitem__, place))
+        for x in new:
+            if len(x) > CACHED_LEN:
+                del self.cache[x]
+        sizes = np.array([(x[4], x[5]) if x else (-1, -1) for x in found], np.int64).reshape(-1, 2)
+        words, counts = [], np.zeros((len(texts), 2), np.int64)
+        for i, fragments in enumerate(cut):
+            at = np.fromiter(map(place.__getitem__, fragments), np.int32, len(fragments))
+            if len(at) and (sizes[at, 0] >= 0).all():
+                counts[i] = sizes[at].sum(axis=0)
+            else:
+                at = at[:0]
+            words.append(at)
+        return words, found, counts
 
 
 _loaded: dict[tuple[str, str], PairTokenizer] = {}
@@ -131,109 +127,113 @@ def pair_tokenizer(a_path: str, b_path: str) -> PairTokenizer:
     return _loaded[a_path, b_path]
 
 
+_INTS = pa.list_(pa.int32())
+_FRAGMENT = ("a_ids", "a_ends", "b_ids", "b_ends")
+
+
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    """A row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def tokenize_pairs(docs: DataFrame, text: str, carry: list[str], a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """carry columns as c0, c1, ..., and a_ids, a_ends, b_ids, b_ends of every row."""
+    """Blocks of documents: `docs` (carry columns as c0, c1, ..., n_a, n_b, words) and `fragments` (a_ids, a_ends, b_ids, b_ends), which words point to.
+
+    A block holds each of its fragments once, so that they are aligned once.
+    """
     a_path, b_path = a_path or vocab_path(VOCAB), b_path or vocab_path(PIECES)
     named = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(carry)], column(text).alias("t"))
-    arrays = ["a_ids", "a_ends", "b_ids", "b_ends"]
-    kind = T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType([named.schema[f"c{i}"] for i in range(len(carry))] + [T.StructField(x, kind, False) for x in arrays])
+    ints = T.ArrayType(T.IntegerType(), False)
+    own = [named.schema[f"c{i}"] for i in range(len(carry))]
+    doc = T.StructType([*own, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("words", ints)])
+    schema = T.StructType([T.StructField("docs", T.ArrayType(doc)), T.StructField("fragments", T.ArrayType(T.StructType([T.StructField(x, ints) for x in _FRAGMENT])))])
 
     def make():
         both = pair_tokenizer(a_path, b_path)
 
         def step(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)) for values, offsets in both.tokens(part.column(len(carry)).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *lists], names=[*schema.names[: len(carry)], *arrays])
+            texts, begin = batch.column(len(carry)).to_pylist(), 0
+            sizes = np.cumsum([len(x or "") for x in texts])
+            while begin < len(texts):
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + BLOCK_CHARS, side="right")))
+                words, found, counts = both.block(texts[begin:end])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)], dtype=np.int32)), pa.array(np.concatenate(words)))
+                columns = [*(x.slice(begin, end - begin) for x in batch.columns[: len(carry)]), pa.array(counts[:, 0]), pa.array(counts[:, 1]), lists]
+                some = [x or (b"", b"", b"", b"") for x in found]
+                fragments = pa.StructArray.from_arrays([_lists([x[k] for x in some]) for k in range(4)], list(_FRAGMENT))
+                yield pa.RecordBatch.from_arrays([_one(pa.StructArray.from_arrays(columns, doc.fieldNames())), _one(fragments)], names=["docs", "fragments"])
+                begin = end
 
         return step
 
     return map_rows(named, schema, make)
 
 
-def _let(body: str, **values: str) -> str:
-    """SQL of body in which each name stands for its value, worked out once: an optimizer that merges projections cannot move it into a loop."""
-    for name, value in reversed(values.items()):
-        body = f"transform(array({value}), {name} -> {body})[0]"
-    return body
-
+def _aligned() -> str:
+    """SQL of (n, groups, links) of all fragments: A's and B's ids of their n groups as text, and their links as A's id * 2^32 + B's id.
 
-def with_spans(tokens: DataFrame) -> DataFrame:
-    """tokens with `cuts`, the offsets where tokens of both end, and `hi` and `lo`: A's token i shares bytes with B's tokens lo[i] to hi[i]."""
-    spans = _let(
-        "named_struct('hi', hi, 'cuts', array_intersect(a, b), 'lo', transform(hi, (h, i) -> IF(i = 0, 0, hi[i - 1] + IF(b[hi[i - 1]] = a[i - 1], 1, 0))))",
-        a="a_ends",
-        b="b_ends",
-        # ends in one order, A's before B's where they are equal; the lower bits tell the side and A's index
-        m="array_sort(concat(transform(a, (e, i) -> shiftleft(CAST(e AS BIGINT), 32) | i), transform(b, e -> shiftleft(CAST(e AS BIGINT), 32) | 2147483648L)))",
-        hi="filter(transform(m, (c, k) -> IF((c & 2147483648L) = 0, k - CAST(c & 2147483647L AS INT), -1)), v -> v >= 0)",
-    )
-    return tokens.withColumn("__s", F.expr(spans)).select(*tokens.columns, "__s.hi", "__s.lo", "__s.cuts")
-
-
-def with_groups(spans: DataFrame) -> DataFrame:
-    """spans with `groups`: (a, b) ids of each group, in order."""
-    part = lambda ids, last: f"slice({ids}, IF(g = 0, 1, {last}[g - 1] + 2), {last}[g] - IF(g = 0, -1, {last}[g - 1]))"
-    groups = _let(
-        f"transform(c, (x, g) -> named_struct('a', {part('a', 'al')}, 'b', {part('b', 'bl')}))",
-        a="a_ids",
-        b="b_ids",
-        c="cuts",
-        h="hi",
-        be="b_ends",
-        ae="a_ends",
-        al="filter(transform(h, (x, i) -> IF(be[x] = ae[i], i, -1)), v -> v >= 0)",
-        bl="transform(al, i -> h[i])",
-    )
-    return spans.withColumn("groups", F.expr(groups))
-
-
-def with_pairs(spans: DataFrame) -> DataFrame:
-    """spans with `pairs`, the distinct linked id pairs as A's id * 2^32 + B's id, and `links`, how many links each has."""
-    pairs = _let(
-        "named_struct('pairs', transform(f, i -> s[i]), 'links', transform(f, (i, k) -> coalesce(get(f, k + 1), n) - i))",
-        l="lo",
-        h="hi",
-        b="b_ids",
-        s="array_sort(flatten(transform(a_ids, (a, i) -> transform(sequence(l[i], h[i]), j -> shiftleft(CAST(a AS BIGINT), 32) | b[j]))))",
-        n="size(s)",
-        f="filter(transform(s, (x, i) -> IF(i = 0, 0, IF(s[i - 1] = x, -1, i))), v -> v >= 0)",
-    )
-    return spans.withColumn("__p", F.expr(pairs)).select(*spans.columns, "__p.pairs", "__p.links")
+    Steps nest as arguments, which are worked out once, whatever an optimizer merges.
+    """
+    step = lambda array, **new: f"transform({array}, f -> named_struct({', '.join(f'{k!r}, {v}' for k, v in new.items())}))"
+    text = lambda a, b: f"concat(array_join(CAST({a} AS ARRAY<STRING>), ','), '|', array_join(CAST({b} AS ARRAY<STRING>), ','))"
+    pair = "shiftleft(CAST({} AS BIGINT), 32) | {}"
+    part = lambda ids, last: f"slice(f.{ids}, IF(g = 0, 1, {last('g - 1')} + 2), {last('g')} - IF(g = 0, -1, {last('g - 1')}))"
+    ids = {"a": "f.a", "b": "f.b"}
+    single = "size(f.a_ids) = 1 OR size(f.b_ids) = 1"  # such tokens share bytes with all of the other side: one group, and no more steps
+    # all ends in one order, A's before B's where they are equal; the lower bits tell the side and A's index
+    order = "sort_array(concat(transform(f.a_ends, (e, i) -> shiftleft(CAST(e AS BIGINT), 32) | i), transform(f.b_ends, e -> shiftleft(CAST(e AS BIGINT), 32) | 2147483648L)))"
+    # A's token i shares bytes with B's up to hi[i]: as many of B's end before it as its place in that order tells
+    hi = f"filter(transform({order}, (c, k) -> IF((c & 2147483648L) = 0, k - CAST(c & 2147483647L AS INT), -1)), v -> v >= 0)"
+    high = step("fragments", a="f.a_ids", b="f.b_ids", ae=f"IF({single}, NULL, f.a_ends)", be="f.b_ends", hi=f"IF({single}, NULL, {hi})")
+    low = step(
+        high, **ids, hi="f.hi", cuts="IF(f.hi IS NULL, NULL, array_intersect(f.ae, f.be))", al="filter(transform(f.hi, (x, i) -> IF(f.be[x] = f.ae[i], i, -1)), v -> v >= 0)",
+        lo="transform(f.hi, (h, i) -> IF(i = 0, 0, f.hi[i - 1] + IF(f.be[f.hi[i - 1]] = f.ae[i - 1], 1, 0)))",
+    )
+    groups = f"array_join(transform(f.cuts, (x, g) -> {text(part('a', 'f.al[{}]'.format), part('b', 'f.hi[f.al[{}]]'.format))}), ';')"
+    crossed = f"transform(f.a, a -> transform(f.b, b -> {pair.format('a', 'b')}))"
+    linked = f"transform(f.hi, (h, i) -> transform(sequence(f.lo[i], h), j -> {pair.format('f.a[i]', 'f.b[j]')}))"
+    return step(
+        low, n="IF(f.hi IS NULL, 1, size(f.cuts))", groups=f"IF(f.hi IS NULL, {text('f.a', 'f.b')}, {groups})", links=f"flatten(IF(f.hi IS NULL, {crossed}, {linked}))"
+    )
 
 
 def align(docs: DataFrame, text: str, carry: list[str], a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """carry columns as c0, c1, ..., ids, ends, `groups`, and the links as spans `lo`, `hi` of B tokens for each A token."""
-    return with_groups(with_spans(tokenize_pairs(docs, text, carry, a_path, b_path)))
+    """carry columns as c0, c1, ..., n_a, n_b, n_groups, `groups` (A's ids, `|`, B's ids of each, parted by `;`) and `links` (A's id * 2^32 + B's id of each), in the order of the text."""
+    blocks = tokenize_pairs(docs, text, carry, a_path, b_path).select("docs", F.expr(_aligned()).alias("t"))
+    own = ", ".join(f"'{x}', d.{x}" for x in [*(f"c{i}" for i in range(len(carry))), "n_a", "n_b"])
+    whole = f"""transform(docs, d -> named_struct({own}, 'n_groups', aggregate(d.words, 0L, (s, w) -> s + t[w].n),
+        'groups', array_join(transform(d.words, w -> t[w].groups), ';'), 'links', flatten(transform(d.words, w -> t[w].links))))"""
+    return blocks.select(F.explode(F.expr(whole)).alias("d")).select("d.*")
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
+def pair_counts(docs: DataFrame) -> DataFrame:
     """(pair, n, best): documents that hold each linked pair, and whether no pair of its A id has more."""
-    counts, _ = materialize(pairs.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
+    counts, _ = materialize(docs.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
     most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))  # one row an A id
     return counts.join(most, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def link_scores(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row, n_best, count_sum) of documents (row, pairs, links) with links."""
+    """(row, n_best, count_sum) of documents (row, links) with links."""
     side = F.broadcast(counts) if small_enough(counts, BROADCAST_NUMBERS) else counts  # else a shuffle, whose hot pairs AQE splits
-    flat = docs.select("row", F.explode(F.arrays_zip("pairs", "links")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.links").cast("long").alias("m"))
-    return flat.join(side, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
+    flat = docs.select("row", F.explode("links").alias("pair"))
+    return flat.join(side, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), 1).otherwise(0)).alias("n_best"), F.sum("n").alias("count_sum"))
 
 
 def op11_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    listed = "array_join(transform(groups, g -> concat(array_join(CAST(g.a AS ARRAY<STRING>), ','), '|', array_join(CAST(g.b AS ARRAY<STRING>), ','))), ';')"
-    aligned = with_pairs(align(docs, "text", ["doc_id"])).select(
-        F.col("c0").alias("doc_id"), F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("cuts").cast("long").alias("n_groups"),
-        F.expr("aggregate(links, 0L, (s, x) -> s + x)").alias("n_links"), F.expr(f"IF(size(a_ids) = 0, '', sha2({listed}, 256))").alias("groups_sha256"), "pairs", "links",
-    ).withColumn("row", F.monotonically_increasing_id())
+    aligned = align(docs, "text", ["doc_id"]).select(
+        F.col("c0").alias("doc_id"), "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"),
+        F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"), "links", F.monotonically_increasing_id().alias("row"),
+    )
     rows, _ = materialize(aligned, "aligned")
     counts, _ = materialize(pair_counts(rows), "pair-scores")
-    scores = link_scores(rows, counts)
-    return rows.drop("pairs", "links").join(scores, "row", "left").select(
+    return rows.drop("links").join(link_scores(rows, counts), "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256"
     )
 

@@ -91,13 +91,24 @@ def test_repeated_rows_null_ids_and_clashing_names(spark, tmp_path):
 
 
 def test_very_long_text(spark):
-    text = "".join(f"{WORDS}{i} " for i in range(30_000))  # about 2 MB
-    got = alignment.with_pairs(alignment.align(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", ["doc_id"]))
-    r = got.select(F.element_at("a_ends", -1).alias("a"), F.element_at("b_ends", -1).alias("b"), F.expr("aggregate(links, 0L, (s, x) -> s + x) = size(a_ids) + size(b_ids) - size(cuts)").alias("ok")).first()
-    assert r.a == r.b == len(text.encode()) + 1 and r.ok
+    text = "".join(f"{WORDS}{i} " for i in range(30_000)) + "y" * 20_000  # about 2 MB, one word of it long
+    r = alignment.align(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", ["doc_id"]).selectExpr("n_a", "n_b", "n_groups AS g", "size(links) AS l").first()
+    assert r.n_a > 400_000 and r.l == r.n_a + r.n_b - r.g
 
 
-def test_groups_and_spans_are_real(spark):
+def test_groups_and_links_are_real(spark):
     r = alignment.align(spark.createDataFrame([("naïve café",)], "text string"), "text", []).first()
-    assert sum([list(g.a) for g in r.groups], []) == r.a_ids and sum([list(g.b) for g in r.groups], []) == r.b_ids
-    assert r.lo[0] == 0 and r.hi[-1] == len(r.b_ids) - 1 and all(a <= b for a, b in zip(r.lo, r.hi))
+    a, b = (",".join(g.split("|")[k] for g in r.groups.split(";")).split(",") for k in (0, 1))
+    assert len(a) == r.n_a and len(b) == r.n_b
+    assert {str(x >> 32) for x in r.links} == set(a) and {str(x & 0xFFFFFFFF) for x in r.links} == set(b)
+
+
+def test_small_blocks_and_a_full_cache_change_nothing(stored, monkeypatch):
+    rows = list(enumerate(TEXTS))
+    both = alignment.pair_tokenizer(alignment.vocab_path(alignment.VOCAB), alignment.vocab_path(alignment.PIECES))
+    monkeypatch.setattr(alignment, "CACHE", 3)
+    texts = [t for _, t in rows]
+    whole, fragments, counts = both.block(texts)
+    for i, t in enumerate(texts):
+        words, own, n = both.block([t])
+        assert [own[w] for w in words[0]] == [fragments[w] for w in whole[i]] and (n[0] == counts[i]).all()
