@@ -611,13 +611,12 @@ def shadow_compare(spark, sf_dir):
     return ranked.agg(F.min(F.when(F.col("upto") > F.ceil(0.95 * F.col("n")) - 1, F.col("n_chars"))).alias("p95_a"), F.max("n").alias("n"))
 
 
-@query()
-def overlap_dedupe(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), (F.col("doc_id") % 400).alias("start_line"), (F.col("doc_id") % 400 + F.col("n_chars") % 60).alias("end_line"), F.col("doc_id").alias("rank"))
-    return retrieval.overlap_dedupe(d)
-
-
-@query()
+@query("""WITH RECURSIVE st AS (
+  SELECT user_id, min(ts) AS s FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+  UNION ALL
+  SELECT st.user_id, min(e.ts) FROM st JOIN events e ON e.user_id = st.user_id AND e.ts >= st.s + INTERVAL 60 SECOND GROUP BY st.user_id),
+w AS (SELECT e.user_id, e.ts, e.event_id, max(s) AS s FROM events e JOIN st ON st.user_id = e.user_id AND st.s <= e.ts GROUP BY ALL)
+SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) <= 3 AS accepted FROM w""")
 def rate_limit_windows(spark, sf_dir):
     return streams.rate_limit(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", limit=3)
 

@@ -182,23 +182,6 @@ def line_budget(docs: DataFrame, doc_id: str, text: str, tokens: int) -> DataFra
     return docs.select(doc_id, kept.alias("kept")).withColumn("tokens", F.when(F.lit(tokens == 0), 0).otherwise(fn.estimate_tokens(F.col("kept"))).cast("long"))
 
 
-def overlap_dedupe(spans: DataFrame, share: float = 0.5) -> DataFrame:
-    """Spans (file_path, start_line, end_line, rank) without those that overlap a better one of their file by `share` of the shorter.
-
-    Greedy by rank, file by file.
-    """
-    import pandas as pd
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept = pdf.sort_values(["rank", "start_line", "end_line"]), []
-        for i, a, b in zip(pdf.index, pdf.start_line, pdf.end_line):
-            if all(min(b, d) - max(a, c) + 1 < share * min(b - a + 1, d - c + 1) for _, c, d in kept):
-                kept.append((i, a, b))
-        return pdf.loc[[i for i, _, _ in kept]]
-
-    return spans.groupBy("file_path").applyInPandas(greedy, spans.schema)
-
-
 def usage_trim(usages: DataFrame, directories: DataFrame, symbols: Sequence[str], first: int = 10, most: int = 15) -> DataFrame:
     """Usages (pos, file_path) in a definition's directory, in a file named like a symbol, or early; the first of those."""
     stem = F.lower(fn.file_stem(F.col("file_path")))

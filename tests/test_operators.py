@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as fn
-from gristmill.operators import extract, index, retrieval, stats, symbols
+from gristmill.operators import extract, index, retrieval, spans, stats, symbols
 from gristmill.sources import files as sources
 from gristmill.streaming import streams
 
@@ -54,7 +54,7 @@ def test_token_budget(spark):
 
 def test_overlap_dedupe(spark):
     df = spark.createDataFrame([("f", 1, 10, 1), ("f", 5, 12, 2), ("f", 10, 20, 3), ("g", 1, 10, 4), ("f", 2, 3, 5)], "file_path string, start_line long, end_line long, rank long")
-    assert sorted(r.rank for r in retrieval.overlap_dedupe(df).collect()) == [1, 3, 4]
+    assert sorted(r.rank for r in spans.overlap_dedupe(df).collect()) == [1, 3, 4]
 
 
 def test_diff_covers_all_paths(spark):
