@@ -48,12 +48,21 @@ class FileTable:
     key: str = "file_path"
     buckets: int = BUCKETS
 
+    def _held(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(spark.read.parquet(f"{self.path}/_schema").schema).parquet(self.path)
+
+    def _keep_schema(self, rows: DataFrame) -> None:
+        """A table whose rows are all gone still has its columns."""
+        if not exists(rows.sparkSession, f"{self.path}/_schema"):
+            rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_schema")
+
     def create(self, rows: DataFrame) -> None:
+        self._keep_schema(rows.withColumn("bucket", bucket_of(self.key, self.buckets)))
         # one file a bucket: rows of a bucket come together before they are written
         _overwrite(rows.withColumn("bucket", bucket_of(self.key, self.buckets)).repartition(self.buckets, "bucket"), self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path).drop("bucket")
+        return self._held(spark).drop("bucket")
 
     def replace(self, files: DataFrame, fresh: DataFrame) -> dict[str, int]:
         """Put `fresh` rows in place of all rows of `files` (a column named as key); null and empty names are no files.
@@ -69,7 +78,8 @@ class FileTable:
             discard(spark, files_path)
             return {"deleted": 0, "written": 0}
         fresh = fresh.where(named).withColumn("bucket", bucket_of(self.key, self.buckets)).join(files, [self.key, "bucket"], "left_semi")
-        old = spark.read.schema(fresh.schema).parquet(self.path).where(F.col("bucket").isin(touched)) if exists(spark, self.path) else fresh.limit(0)
+        self._keep_schema(fresh)
+        old = self._held(spark).where(F.col("bucket").isin(touched))
         marked = old.join(files.select(self.key).withColumn("_gone", F.lit(True)), self.key, "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
         columns = [c for c in fresh.columns if c != "bucket"] + ["bucket"]
         rows, rows_path = materialize(marked.select(*columns, "_gone", F.lit(False).alias("_new")).unionByName(fresh.select(*columns, F.lit(False).alias("_gone"), F.lit(True).alias("_new"))), "replaced")

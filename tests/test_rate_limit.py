@@ -1,5 +1,6 @@
 import datetime
 import random
+import time
 
 import pytest
 
@@ -41,6 +42,12 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     batch = {(r.user, r.ts): r.accepted for r in streams.rate_limit(df, "user", "ts", "id", 1, 60).collect()}
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = streams.rate_limit_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "user", "ts", 1, 60)
-    stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    running = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:  # time-outs are looked for for ever, so the query never ends of itself
+        until = time.time() + 90
+        while spark.table("limited").count() < len(rows) and time.time() < until:
+            time.sleep(1)
+    finally:
+        running.stop()
     got = {(r.key, r.ts): r.accepted for r in spark.table("limited").collect()}
     assert got == batch
