@@ -570,20 +570,26 @@ def usage_trim(spark, sf_dir):
 # ---- packing ---------------------------------------------------------------------------------
 
 
-@query("""WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents),
-x AS (SELECT doc_id, i, ls[i] AS line, sum(strlen(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS upto FROM l, unnest(range(1, len(ls) + 1)) AS r(i)),
-k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM x WHERE upto <= 400 GROUP BY doc_id)
+_PACKED = """WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents),
+f AS (SELECT doc_id, text, ls, list_position(list_transform(ls, lambda x: x <> ''), true) AS a FROM l),
+x AS (SELECT doc_id, i, ls[i] AS line, sum(strlen(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS upto FROM f, unnest(range(a, len(ls) + 1)) AS r(i)),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM x WHERE upto <= 400 GROUP BY doc_id),
+c AS (SELECT doc_id, ls[a] AS line, list_max(list_filter(range(1, 401), lambda n: strlen(ls[a][1:n]) <= 400)) AS n FROM f WHERE strlen(ls[a]) > 400)
 SELECT doc_id, kept, greatest(1, CAST(ceil(strlen(kept) / 4.0) AS BIGINT)) AS tokens FROM (
-  SELECT doc_id, CASE WHEN strlen(text) <= 400 THEN text ELSE regexp_replace(kept, '\\s+$', '') END AS kept FROM l LEFT JOIN k USING (doc_id) WHERE strlen(ls[1]) BETWEEN 1 AND 400)""")
+  SELECT f.doc_id, CASE WHEN strlen(text) <= 400 THEN text
+    WHEN c.doc_id IS NOT NULL THEN regexp_replace(c.line[1:c.n] || CASE WHEN strlen(c.line[1:c.n]) < 400 THEN chr(65533) ELSE '' END, '\\s+$', '') ELSE regexp_replace(coalesce(kept, ''), '\\s+$', '') END AS kept
+  FROM f LEFT JOIN k ON k.doc_id = f.doc_id LEFT JOIN c ON c.doc_id = f.doc_id)"""
+
+
+@query(_PACKED)
 def token_budget(spark, sf_dir):
-    first = F.octet_length(F.element_at(F.split("text", "\n"), 1))
-    return retrieval.line_budget(table(spark, sf_dir, "documents").where(first.between(1, 400)), "doc_id", "text", 100)
+    return retrieval.line_budget(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
 
 
-@query()
+@query(_PACKED)
 def token_budget_all(spark, sf_dir):
-    """The budget on all documents, long and empty first lines too: tests hold it against brute force."""
-    return retrieval.line_budget(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
+    """The same: the name of the query that had no SQL when the one above left out some first lines."""
+    return token_budget(spark, sf_dir)
 
 
 @query("""WITH s AS (SELECT doc_id, round(0.1 + (doc_id * 37 % 100) / 200.0, 4) AS score, greatest(1, CAST(ceil(strlen(text) / 4.0) AS BIGINT)) AS tokens, source FROM documents),
@@ -605,10 +611,7 @@ def ask_gate(spark, sf_dir):
 @query("""WITH a AS (SELECT doc_id, n_chars AS x, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
 SELECT min(x) FILTER (i = ceil(0.95 * n) - 1) AS p95_a, count(*) AS n FROM a""")
 def shadow_compare(spark, sf_dir):
-    counted = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("c"))
-    w = Window.orderBy("n_chars")  # distinct values only
-    ranked = counted.select("n_chars", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
-    return ranked.agg(F.min(F.when(F.col("upto") > F.ceil(0.95 * F.col("n")) - 1, F.col("n_chars"))).alias("p95_a"), F.max("n").alias("n"))
+    return stats.at_ranks(table(spark, sf_dir, "documents"), "n_chars", {"p95_a": lambda n: F.ceil(0.95 * n) - 1}).select("p95_a", "n")
 
 
 @query("""WITH RECURSIVE st AS (

@@ -136,13 +136,18 @@ def promote_lexical(dense: DataFrame, lexical: DataFrame, payload: DataFrame | N
     return dense.unionByName(extra, allowMissingColumns=True)
 
 
+def _literal(text: str) -> str:
+    """A pattern that matches the text itself."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def sanity_filter(hits: DataFrame, symbols: Sequence[str], content: str = "content", fields: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Hits that mention a symbol; all of them if none does."""
     if not symbols:
         return hits
     ok = F.lit(False)
     for s in symbols:
-        ok = ok | F.col(content).rlike(rf"\b{s}\b")
+        ok = ok | F.col(content).rlike(rf"\b{_literal(s)}\b")
         for f in fields:
             ok = ok | F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(s.lower()))
     flagged = hits.withColumn("_ok", F.coalesce(ok, F.lit(False)))

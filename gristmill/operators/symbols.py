@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.scratch import materialize
 
 MOST = 1000
 DEFINITION_ORDER = "CASE kind WHEN 'impl' THEN 2 WHEN 'property' THEN 1 ELSE 0 END"
@@ -76,15 +77,18 @@ def structural_rank(score: Column, start: Column, end: Column, signature: Column
 def traverse(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(node, hop) within `hops` of the start nodes over calls and inherits in both directions, start nodes excluded.
 
-    Each hop is one join and one anti-join against the visited nodes; hops are few and lazily planned.
+    Each hop is one join and one anti-join against the visited nodes, and is written: a plan holds one
+    hop, and the walk ends where a hop finds nothing.
     """
     kept = edges.where(F.col("relation").isin("calls", "inherits"))
-    both = kept.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).union(kept.select("to_node", "from_node")).distinct()
-    visited = start.select("node").distinct().withColumn("hop", F.lit(0))
+    both, _ = materialize(kept.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).union(kept.select("to_node", "from_node")).distinct(), "links")
+    visited, _ = materialize(start.select("node").distinct().withColumn("hop", F.lit(0)), "hop")
     frontier = visited
     for hop in range(1, hops + 1):
         reached = frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct()
-        frontier = reached.join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        frontier, _ = materialize(reached.join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "hop")
+        if frontier.isEmpty():
+            break
         visited = visited.union(frontier)
     return visited.where("hop > 0")
 
