@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.scratch import materialize
+
 
 def state_diff(current: DataFrame, state: DataFrame) -> DataFrame:
     """(path, status) of every path in either (path, hash) table: added, changed, unchanged or deleted."""
@@ -54,3 +56,20 @@ def forward_fill(rows: DataFrame, value: str, by: Sequence[str], order: Sequence
     """rows with `value` carried forward over nulls."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.last(value, True).over(w))
+
+
+def forward_fill_ranges(rows: DataFrame, value: str, order: Sequence[str], parts: int = 200) -> DataFrame:
+    """rows of one long sequence with `value` carried forward over nulls, in `parts` ranges of `order` (together a position of its own for each row).
+
+    Each range is filled by itself, and what its first rows lack is the last value of the ranges before:
+    a row a range is all that is ordered together. The ranges are written, so that they hold still.
+    """
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    held, _ = materialize(ranged, "ranges")
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tails = held.where(F.col(value).isNotNull()).groupBy("_part").agg(F.max_by(value, F.struct(*order)).alias("_tail"))
+    everywhere = held.select("_part").distinct().join(tails, "_part", "left")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows at most
+    carried = everywhere.select("_part", F.last("_tail", True).over(before).alias("_carried"))
+    filled = held.withColumn(value, F.last(value, True).over(within)).join(F.broadcast(carried), "_part")
+    return filled.withColumn(value, F.coalesce(value, "_carried")).select(*rows.columns)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators import index
+
 # Languages by file extension, and extensions of documentation.
 LANGUAGES = {
     "py": "python", "java": "java", "kt": "kotlin", "kts": "kotlin", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
@@ -43,12 +45,29 @@ def last_summary(rows: DataFrame) -> DataFrame:
     return good.groupBy("file").agg(F.max_by("summary", "at").alias("summary"))
 
 
-def parse_git_log(lines: DataFrame) -> DataFrame:
-    """(path, date): the newest commit date of each path, from lines (at, line) of dates and file names, newest first."""
-    dated = F.when(F.col("line").rlike(r"^\d{4}-\d{2}-\d{2}T"), F.col("line"))
-    order = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # one log of one repository
-    filled = lines.withColumn("date", F.last(dated, True).over(order)).where((F.trim("line") != "") & ~F.col("line").rlike(r"^\d{4}-\d{2}-\d{2}T"))
-    return filled.groupBy(F.col("line").alias("path")).agg(F.min_by("date", "at").alias("date"))
+#: Days of history that dates are taken from, and what a line with a commit's date looks like (RFC 3339).
+RECENT_DAYS = 180
+_DATE_LINE = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line) of text files; the first three together order the lines as they stand, however the files are split."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def parse_git_log(lines: DataFrame, order: Sequence[str] = ("at",), parts: int = 200, now: Column | None = None, days: int = RECENT_DAYS) -> DataFrame:
+    """(path, date): the newest commit date of each path, from lines of dates and file names, newest first.
+
+    The log is filled forward in ranges of its lines, so a long history is not one task. Names before
+    any date have none and go; with `now`, so do dates of more than `days` before it.
+    """
+    clean = lines.withColumn("line", F.regexp_replace("line", "\r+$", "")).where("line != ''")
+    dated = clean.withColumn("date", F.when(F.col("line").rlike(_DATE_LINE), F.col("line")))
+    named = index.forward_fill_ranges(dated, "date", order, parts).where(~F.col("line").rlike(_DATE_LINE) & F.col("date").isNotNull())
+    if now is not None:
+        named = named.where(F.to_timestamp("date") >= now - F.expr(f"INTERVAL {days} DAYS"))
+    return named.groupBy(F.col("line").alias("path")).agg(F.min_by("date", F.struct(*order)).alias("date"))
 
 
 def export_jsonl(points: DataFrame, target: str, root: str, id_column: str = "id") -> str:

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import retrieval, stats
+from gristmill.operators import index, retrieval, stats
+from gristmill.sources import files
 
 
 @pytest.mark.parametrize("ordered", [0, 3, 10**6])
@@ -34,3 +35,36 @@ def test_symbols_are_taken_literally(spark):
     hits = spark.createDataFrame([(1, "a.b(c) d"), (2, "aXb")], "id int, content string")
     assert [r.id for r in retrieval.sanity_filter(hits, ["a.b"]).collect()] == [1]
     assert retrieval.sanity_filter(hits, [r"x\Ey("]).count() == 2
+
+
+@pytest.mark.parametrize("parts", [1, 7, 200])
+def test_long_sequences_are_filled_in_ranges(spark, parts):
+    rng = random.Random(parts)
+    values = [rng.choice([None] * 9 + ["x", "y"]) for _ in range(500)]
+    values[:30] = [None] * 30
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string").repartition(5)
+    want, last = {}, None
+    for i, v in enumerate(values):
+        last = v or last
+        want[i] = last
+    assert {r.i: r.v for r in index.forward_fill_ranges(rows, "v", ["i"], parts).collect()} == want
+
+
+def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
+    text = "".join(f"2024-{1 + i % 12:02d}-01T00:00:00+02:00\r\n\nfile {i % 50}\n" if i % 3 else f"file {i % 50}\n" for i in range(600))
+    (tmp_path / "log").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = files.read_lines(spark, str(tmp_path / "log"))
+        got = dict(map(tuple, files.parse_git_log(lines, ("file", "block", "at"), 8).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want, date = {}, None
+    for line in text.split("\n"):
+        line = line.rstrip("\r")
+        if line.startswith("2024"):
+            date = line
+        elif line and date:
+            want.setdefault(line, date)
+    assert got == want
