@@ -16,7 +16,6 @@ NO_SYMBOLS = (
     "minimal", "module", "needed", "public", "apis", "new", "not", "only", "order", "paid", "payment", "plan", "propose", "refactor", "report", "reset", "safe",
     "separate", "state", "still", "success", "successful", "tests", "the", "this", "tracking", "when", "without",
 )
-REUSE_WORDS = ("add", "create", "event", "feature", "new", "reuse", "verify")
 ARCHITECTURE_WORDS = ("architecture", "boundary", "boundaries", "dependencies", "dependency", "extract", "module", "modules", "move", "public", "refactor", "risks")
 RISKS = (
     ("semantic", "Semantic fallback was used; verify embedding-only hits before editing."),
