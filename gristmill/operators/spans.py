@@ -9,14 +9,15 @@ where a symbol's braces close, or that ends a symbol without braces.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.arrays import let
 from gristmill.operators.symbols import structural_rank
+from gristmill.scratch import materialize, small_enough
 
 BLOCK = 128
 #: Most lines of a symbol, of the symbol around a usage, lines searched upwards for that, notes before a symbol, and lines around a usage without one.
@@ -116,44 +117,64 @@ def islands(spans: DataFrame, by: Sequence[str]) -> DataFrame:
     return spans.withColumn("_new", F.when(F.col("start_line") <= reach, 0).otherwise(1)).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def greedy(spans: Sequence[tuple[int, int]], share: float) -> list[int]:
-    """Indexes of the spans, best first, that overlap none kept before by `share` of the shorter.
+class _Kept:
+    """Spans kept so far, of which a later one may overlap none by `share` of the shorter.
 
     Kept spans never hold one another, so in order of their starts their ends are in order too, and only neighbours are looked at.
     """
-    kept, starts, out = [], [], []
-    for i, (a, b) in enumerate(spans):
-        at, clash = bisect.bisect_right(starts, a), False
-        clashes = lambda c, d: min(b, d) - max(a, c) + 1 >= share * max(min(b - a, d - c) + 1, 1)  # noqa: B023, E731
-        left = at - 1
-        while left >= 0 and kept[left][1] >= a and not clash:
-            clash, left = clashes(*kept[left]), left - 1
-        right = at
-        while right < len(kept) and kept[right][0] <= b and not clash:
-            clash, right = clashes(*kept[right]), right + 1
-        if not clash:
-            out.append(i)
-            if a <= b:
-                starts.insert(at, a)
-                kept.insert(at, (a, b))
-    return out
+
+    def __init__(self, share: float) -> None:
+        self.share, self.spans, self.starts = share, [], []
+
+    def takes(self, a: int | None, b: int | None) -> bool:
+        if a is None or b is None:
+            return True  # overlaps nothing
+        kept, starts, share = self.spans, self.starts, self.share
+        at = bisect.bisect_right(starts, a)
+        clashes = lambda c, d: min(b, d) - max(a, c) + 1 >= share * max(min(b - a, d - c) + 1, 1)
+        left, right = at - 1, at
+        while left >= 0 and kept[left][1] >= a:
+            if clashes(*kept[left]):
+                return False
+            left -= 1
+        while right < len(kept) and kept[right][0] <= b:
+            if clashes(*kept[right]):
+                return False
+            right += 1
+        if a <= b:
+            starts.insert(at, a)
+            kept.insert(at, (a, b))
+        return True
+
+
+def greedy(spans: Sequence[tuple[int, int]], share: float) -> list[int]:
+    """Indexes of the spans, best first, that overlap none kept before by `share` of the shorter."""
+    kept = _Kept(share)
+    return [i for i, (a, b) in enumerate(spans) if kept.takes(a, b)]
 
 
 def overlap_dedupe(spans: DataFrame, order: Sequence[str] = ("rank",), by: Sequence[str] = ("file_path",), share: float = 0.5) -> DataFrame:
     """Spans (start_line, end_line, ...) without those that overlap a better kept one of their key by `share` of the shorter, at most the whole of it.
 
-    Greedy by `order`, ties by place. Only runs of overlapping spans are decided together; those of
-    one span are kept as they are. A run costs n log n, whatever the overlaps.
+    Greedy by `order`, ties by place. Only runs of overlapping spans are decided together. A task
+    passes over its runs one after the other and holds the kept places of one, so many small runs
+    cost no call each, and a run costs n log n, whatever the overlaps.
     """
-    names = [*spans.columns, "island", "_n"]
-    runs = islands(spans, by).withColumn("_n", F.count("*").over(Window.partitionBy(*by, "island")))
+    best = Window.partitionBy(*by, "island").orderBy(*[F.asc_nulls_last(c) for c in order], "start_line", "end_line")
+    runs = islands(spans, by).withColumn("_i", F.row_number().over(best)).drop("island")
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*order, "start_line", "end_line"], kind="stable")
-        return pdf.iloc[greedy(list(zip(pdf["start_line"].tolist(), pdf["end_line"].tolist())), share)]
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Kept(share)
+        for batch in batches:
+            keep = []
+            for i, a, b in zip(*(batch.column(c).to_pylist() for c in ("_i", "start_line", "end_line"))):
+                if i == 1:
+                    kept = _Kept(share)
+                keep.append(kept.takes(a, b))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    many = runs.where("_n > 1")
-    return runs.where("_n = 1").select(*names).union(many.groupBy(*by, "island").applyInPandas(decide, many.schema).select(*names)).drop("island", "_n")
+    # a window's rows leave it run by run, in its order
+    return runs.mapInArrow(decide, runs.schema).drop("_i")
 
 
 def resolve_with_code(hits: DataFrame, sources: DataFrame, limit: int = 20, by: Sequence[str] = ("qid", "role")) -> DataFrame:
@@ -161,12 +182,19 @@ def resolve_with_code(hits: DataFrame, sources: DataFrame, limit: int = 20, by:
 
     Definitions without code go; `place` is the rank among a request's kept hits.
     """
-    coded = attach_code(hits, sources)
     start, end = F.coalesce(F.nullif("start_line", F.lit(0)), "line"), F.coalesce(F.nullif("end_line", F.lit(0)), "line")
-    code = F.coalesce("code", F.lit(""))
-    scored = coded.withColumn("code", code).where((F.col("role") != "definitions") | (trimmed(F.col("code")) != "")).withColumn("start_line", start).withColumn("end_line", end)
-    ranked = scored.withColumn("rank", structural_rank(F.col("score"), F.col("start_line"), F.col("end_line"), F.coalesce("signature", F.lit("")), trimmed(F.col("code"))))
-    ranked = ranked.withColumn("worse", -F.col("rank"))
-    kept = overlap_dedupe(ranked, ("worse", "line", "name"), (*by, "file_path"))
+
+    def with_rank(coded: DataFrame) -> DataFrame:
+        placed = coded.withColumn("code", F.coalesce("code", F.lit(""))).withColumn("start_line", start).withColumn("end_line", end).withColumn("_t", trimmed(F.col("code")))
+        return placed.withColumn("rank", structural_rank(F.col("score"), F.col("start_line"), F.col("end_line"), F.coalesce("signature", F.lit("")), F.col("_t")))
+
+    shown = F.coalesce((F.col("role") != "definitions") | (F.col("_t") != ""), F.lit(False))
+    # code is found again for what is kept; what is not shown goes after the overlaps, as a filter before them would find the code twice
+    ranked = with_rank(attach_code(hits, sources)).withColumn("worse", -F.col("rank")).withColumn("_shown", shown).drop("code", "rank", "_t")
+    kept = overlap_dedupe(ranked, ("worse", "line", "name"), (*by, "file_path", "_shown")).where("_shown").drop("_shown")
     order = Window.partitionBy(*by).orderBy("worse", "file_path", "line", "name")
-    return kept.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).drop("worse")
+    first = kept.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).drop("worse", "start_line", "end_line")
+    first, _ = materialize(first, "first-hits")
+    paths = first.select(F.col("file_path").alias("path")).distinct()
+    read = sources.join(F.broadcast(paths) if small_enough(first) else paths, "path", "left_semi")
+    return with_rank(attach_code(first, read)).select(*[c for c in hits.columns if c not in ("start_line", "end_line", "code")], "start_line", "end_line", "code", "rank", "place")

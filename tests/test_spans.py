@@ -149,3 +149,16 @@ def test_one_file_with_very_many_spans(spark):
     for x, y in zip(kept, kept[1:]):
         overlap = min(x.end_line, y.end_line) - y.start_line + 1
         assert overlap < 0.5 * (min(x.end_line - x.start_line, y.end_line - y.start_line) + 1)
+
+
+def test_many_small_runs_need_no_call_each(spark, capsys):
+    many = spark.range(60_000).selectExpr("concat('f', id div 3) AS file_path", "10 + id % 3 AS start_line", "20 + id % 3 AS end_line", "id % 3 AS rank", "concat('code ', id) AS code")
+    kept = spans.overlap_dedupe(many)
+    kept.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    assert [tuple(r) for r in kept.groupBy("rank").count().collect()] == [(0, 20_000)]
+
+
+def test_spans_without_an_end_are_kept(spark):
+    rows = spark.createDataFrame([("f", 1, 9, 0), ("f", 2, None, 1), ("f", 3, 9, 2)], "file_path string, start_line long, end_line long, rank int")
+    assert sorted(r.rank for r in spans.overlap_dedupe(rows).collect()) == [0, 1]
