@@ -1,9 +1,9 @@
 """Code spans of hits: where a symbol or a usage begins and ends in its source, and its code.
 
-Sources become a line table in blocks of BLOCK lines, and a hit meets only the two or three blocks
-that its span can touch, so a file with many lines or many hits is never gathered in one row. Lines
-carry their balance of braces outside strings; a fold over at most `most` lines finds the first line
-where a symbol's braces close, or that ends a symbol without braces.
+Sources become blocks of BLOCK lines, each with the lines around that its spans can reach, and a hit
+meets one block, so a file with many lines or many hits is never gathered in one row. Lines carry
+their balance of braces outside strings; a fold over at most `most` lines finds the first line where
+a symbol's braces close, or that ends a symbol without braces.
 """
 
 from __future__ import annotations
@@ -44,43 +44,57 @@ def brace_delta(line: Column) -> Column:
     return F.length(F.regexp_replace(bare, "[^{]", "")) - F.length(F.regexp_replace(bare, "[^}]", ""))
 
 
-def _any_prefix(line: Column, marks: Sequence[str]) -> Column:
-    test = F.lit(False)
-    for mark in marks:
-        test = test | F.startswith(line, F.lit(mark))
-    return test
+#: Lines that a span can reach above and below the line of its hit.
+ABOVE, BELOW = USAGE_ABOVE + NOTES, SYMBOL_LINES
+# What a line is, as bits: it opens a brace, ends a symbol without braces, is a note, may hold the symbol around a usage.
+_OPEN, _ENDS, _NOTE, _HEAD = 1, 2, 4, 8
 
 
-def line_table(sources: DataFrame) -> DataFrame:
-    """(path, n, pos, raw, delta, open, blank, symbol, note, head) of every line of sources (path, text); pos counts from 0, n is the number of lines."""
-    lines = sources.where("text IS NOT NULL").select("path", F.split("text", "\n").alias("l")).select("path", F.size("l").alias("n"), F.posexplode("l").alias("pos", "raw"))
-    t = F.col("t")
-    return lines.withColumn("t", trimmed(F.col("raw"))).select(
-        "path", "n", "pos", "raw", brace_delta(F.col("raw")).alias("delta"), F.contains("raw", F.lit("{")).alias("open"), (t == "").alias("blank"), t.rlike(_SYMBOL).alias("symbol"),
-        _any_prefix(t, NOTE_MARKS).alias("note"), _any_prefix(F.regexp_replace("raw", f"^{_WHITE}+", ""), HEADS).alias("head"),
-    )
+def _mark(line: Column) -> Column:
+    bit = lambda test, b: F.when(test, b).otherwise(0)
+    ends = line.rlike(_SYMBOL) | line.rlike(rf"^{_WHITE}*\z")
+    note, head = ("|".join(f"\\Q{x}\\E" for x in marks) for marks in (NOTE_MARKS, HEADS))
+    marks = bit(F.contains(line, F.lit("{")), _OPEN) + bit(ends, _ENDS) + bit(line.rlike(f"^{_WHITE}*(?:{note})"), _NOTE) + bit(line.rlike(f"^{_WHITE}*(?:{head})"), _HEAD)
+    return marks.cast("byte")
+
+
+def line_blocks(sources: DataFrame) -> DataFrame:
+    """(path, block, n, low, raw, delta, mark): the lines of each block of sources (path, text) from `low`, with those that spans of its lines can reach; positions count from 0.
+
+    `n` is the number of lines of the text, whose last block is number -1.
+    """
+    lines = sources.where("text IS NOT NULL").select("path", F.split("text", "\n").alias("l")).withColumn("n", F.size("l"))
+    cut = lines.select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {BLOCK})")).alias("block")).withColumn("low", F.expr(f"greatest(block * {BLOCK} - {ABOVE}, 0)"))
+    number = F.expr(f"IF(block = (n - 1) div {BLOCK}, -1, block)").alias("block")
+    held = cut.select("path", number, "n", "low", F.expr(f"slice(l, low + 1, (block + 1) * {BLOCK} + {BELOW} - low)").alias("raw"))
+    braces = lambda x: F.when(F.contains(x, F.lit("{")) | F.contains(x, F.lit("}")), brace_delta(x)).otherwise(0)
+    return held.select("*", F.transform("raw", braces).alias("delta"), F.transform("raw", _mark).alias("mark"))
 
 
 def _bounds() -> str:
-    """SQL of (start_line, end_line, code) from the lines `w` around a target, its place `idx`, `line`, `n` and `as_symbol`."""
+    """SQL of (start_line, end_line, code) from a block, the place `_idx` of a target in it, `_line`, `_n` and `_symbol`."""
     notes = "aggregate(reverse(filter(w, x -> x.pos >= at - {0} AND x.pos < at)), named_struct('k', 0, 'go', true), (s, x) -> named_struct('k', s.k + IF(s.go AND x.note, 1, 0), 'go', s.go AND x.note)).k"
     step = let(
-        "named_struct('bal', b, 'open', o, 'end', CASE WHEN s.end >= 0 THEN s.end WHEN x.pos = at THEN -1 WHEN o AND b <= 0 THEN x.pos + 1 WHEN NOT o AND (x.blank OR x.symbol) THEN x.pos ELSE -1 END)",
+        "named_struct('bal', b, 'open', o, 'end', CASE WHEN s.end >= 0 THEN s.end WHEN x.pos = at THEN -1 WHEN o AND b <= 0 THEN x.pos + 1 WHEN NOT o AND x.ends THEN x.pos ELSE -1 END)",
         b="s.bal + x.delta",
         o="s.open OR x.open",
     )
     closed = f"aggregate(filter(w, x -> x.pos >= at AND x.pos < at + most), named_struct('bal', 0, 'open', false, 'end', -1), (s, x) -> {step}).end"
     found = let(
-        "named_struct('first', at + 1 - notes, 'last', IF(closed >= 0, closed, least(n, at + most)))", notes=notes.format(NOTES), closed=closed
+        "named_struct('first', at + 1 - notes, 'last', IF(closed >= 0, closed, least(_n, at + most)))", notes=notes.format(NOTES), closed=closed
     )
-    around = f"named_struct('first', greatest(line - {AROUND}, 1), 'last', least(line + {AROUND}, n))"
-    return let(
+    around = f"named_struct('first', greatest(_line - {AROUND}, 1), 'last', least(_line + {AROUND}, _n))"
+    near = "arrays_zip(" + ", ".join(f"slice({x}, begin - _low + 1, {ABOVE + BELOW + 1})" for x in ("_raw", "_delta", "_mark")) + ")"
+    bits = ", ".join(f"'{name}', x.`2` & {bit} > 0" for name, bit in (("open", _OPEN), ("ends", _ENDS), ("note", _NOTE), ("head", _HEAD)))
+    body = let(
         "named_struct('start_line', r.first, 'end_line', r.last, 'code', array_join(transform(filter(w, x -> x.pos >= r.first - 1 AND x.pos < r.last), x -> x.raw), '\\n'))",
-        w="w",
-        at=f"IF(as_symbol, idx, coalesce(array_max(transform(filter(w, x -> x.head AND x.pos <= idx AND x.pos >= idx - {USAGE_ABOVE}), x -> x.pos)), -1))",
-        most=f"IF(as_symbol, {SYMBOL_LINES}, {USAGE_LINES})",
+        begin=f"greatest(_idx - {ABOVE}, 0)",
+        w=f"transform({near}, (x, i) -> named_struct('pos', begin + i, 'raw', x.`0`, 'delta', x.`1`, {bits}))",
+        at=f"IF(_symbol, _idx, coalesce(array_max(transform(filter(w, x -> x.head AND x.pos <= _idx AND x.pos >= _idx - {USAGE_ABOVE}), x -> x.pos)), -1))",
+        most=f"IF(_symbol, {SYMBOL_LINES}, {USAGE_LINES})",
         r=f"IF(at < 0, {around}, {found})",
     )
+    return f"IF(_raw IS NOT NULL AND _line IS NOT NULL, {body}, NULL)"
 
 
 def attach_code(hits: DataFrame, sources: DataFrame) -> DataFrame:
@@ -88,26 +102,19 @@ def attach_code(hits: DataFrame, sources: DataFrame) -> DataFrame:
 
     Symbols begin up to six lines of notes above and end with their braces, or before the next blank
     or symbol line; a usage takes the symbol that begins within 40 lines above, or eight lines to
-    either side. Equal places are worked out once. Hits of files that are not there keep nulls.
+    either side. Texts are shuffled once, and code is made where hit and block meet, so that no code
+    is shuffled. Hits of files that are not there keep nulls.
     """
     as_symbol = F.coalesce(F.col("source").isin(*SYMBOL_SOURCES) & (F.coalesce("kind", F.lit("")) != "property"), F.lit(False))
-    marked = hits.withColumn("_symbol", as_symbol)
-    wanted = marked.select(F.col("file_path").alias("path"), F.col("line").cast("int").alias("line"), F.col("_symbol").alias("as_symbol")).distinct()
-    read = sources.join(wanted.select("path").distinct(), "path", "left_semi")
-    lengths = read.where("text IS NOT NULL").select("path", F.size(F.split("text", "\n")).alias("n"))
-    targets = wanted.join(lengths, "path").withColumn("idx", F.expr("least(greatest(line - 1, 0), n - 1)"))
-    low, high = f"greatest(idx - {USAGE_ABOVE + NOTES}, 0)", f"least(idx + {SYMBOL_LINES}, n - 1)"
-    asked = targets.withColumn("block", F.explode(F.expr(f"sequence({low} div {BLOCK}, {high} div {BLOCK})")))
-    rows = line_table(read)
-    blocks = rows.groupBy("path", F.expr(f"pos div {BLOCK}").alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "raw", "delta", "open", "blank", "symbol", "note", "head"))).alias("rows")  # BLOCK lines at most
-    )
-    place = ["path", "line", "as_symbol"]
-    near = asked.join(blocks, ["path", "block"]).groupBy(*place, "idx", "n").agg(F.flatten(F.sort_array(F.collect_list(F.struct("block", "rows"))).getField("rows")).alias("w"))
-    spans = near.select(*place, F.expr(_bounds()).alias("_b")).select(*place, "_b.*")
-    same = (marked["file_path"] == spans["path"]) & (marked["line"].cast("int") == spans["line"]) & (marked["_symbol"] == spans["as_symbol"])
     kept = [c for c in hits.columns if c not in ("start_line", "end_line", "code")]
-    return marked.join(spans, same, "left").select(*[marked[c] for c in kept], spans["start_line"].cast("long"), spans["end_line"].cast("long"), spans["code"])
+    marked = hits.select(*kept, as_symbol.alias("_symbol"), F.col("line").cast("int").alias("_line")).withColumn("_block", F.expr(f"greatest(coalesce(_line, 1) - 1, 0) div {BLOCK}"))
+    # the line's block may be the last one or lie beyond it: a hit asks for both, and one answer counts
+    asked = marked.withColumn("_at", F.explode(F.array(F.col("_block"), F.lit(-1))))
+    blocks = line_blocks(sources).toDF("_path", "_number", "_n", "_low", "_raw", "_delta", "_mark")
+    met = asked.join(blocks, (F.col("file_path") == F.col("_path")) & (F.col("_at") == F.col("_number")), "left")
+    met = met.where(f"IF(_at >= 0, _n IS NOT NULL, _n IS NULL OR _block >= (_n - 1) div {BLOCK})").withColumn("_idx", F.expr("least(greatest(_line - 1, 0), _n - 1)"))
+    found = met.select(*kept, F.expr(_bounds()).alias("_b"))
+    return found.select(*kept, F.col("_b.start_line").cast("long").alias("start_line"), F.col("_b.end_line").cast("long").alias("end_line"), F.col("_b.code").alias("code"))
 
 
 def islands(spans: DataFrame, by: Sequence[str]) -> DataFrame:

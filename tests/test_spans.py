@@ -162,3 +162,22 @@ def test_many_small_runs_need_no_call_each(spark, capsys):
 def test_spans_without_an_end_are_kept(spark):
     rows = spark.createDataFrame([("f", 1, 9, 0), ("f", 2, None, 1), ("f", 3, 9, 2)], "file_path string, start_line long, end_line long, rank int")
     assert sorted(r.rank for r in spans.overlap_dedupe(rows).collect()) == [0, 1]
+
+
+def test_code_is_not_shuffled(spark, capsys):
+    hits = spark.createDataFrame([("f", 1, "symbol", "class")] * 3, "file_path string, line int, source string, kind string").union(spark.createDataFrame([("f", None, "usages", "call")], "file_path string, line int, source string, kind string"))
+    got = spans.attach_code(hits.hint("merge"), spark.createDataFrame([("f", "class A")], "path string, text string"))
+    got.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2  # of hits and of blocks
+    assert sorted(r.code or "" for r in got.collect()) == ["", "class A", "class A", "class A"]
+
+
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 256, 257])
+def test_hits_near_and_beyond_the_last_block(spark, n):
+    lines = [f"fun a{i}() {{" if i % 9 == 0 else "}" if i % 9 == 5 else f"x{i}" for i in range(n)]
+    hits = [(x, s, "function") for x in (-3, 0, 1, n - 1, n, n + 1, n + 5, n + 130, n + 300) for s in ("symbol", "usages")]
+    got = spans_of(spark, "\n".join(lines), hits)
+    assert len(got) == len(set(hits))
+    for x, source, _ in hits:
+        first, last = by_loops(lines, x, source == "symbol")
+        assert got[x, source] == (first, last, "\n".join(lines[first - 1 : max(last, first - 1)])), (x, source)
