@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from gristmill.functions import text as fn
-from gristmill.scratch import materialize
+from gristmill.scratch import discard, materialize
 
 #: Query vectors that are broadcast at a time; more of them are searched in blocks.
 QUERY_BLOCK = 4096
@@ -59,21 +62,150 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """Blocks (n, dim, ids, vectors, whole) of at most `rows` unit vectors of one length each; a vector with a null in it, or none, is not whole and counts as null."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        out = lambda dim, xs: pa.RecordBatch.from_pylist([{"n": len(xs), "dim": dim, "ids": np.array([x[0] for x in xs], np.int64).tobytes(), "vectors": np.array([x[1] for x in xs], np.float64).tobytes(), "whole": np.array([x[2] for x in xs], bool).tobytes()}], _BLOCK_SCHEMA)
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = v is not None and None not in v
+                dim = len(v) if whole else -1
+                held.setdefault(dim, []).append((_NO_ID if i is None else i, v if whole else [], whole))
+                if len(held[dim]) == rows:
+                    yield out(dim, held.pop(dim))
+        yield from (out(dim, xs) for dim, xs in held.items())
+
+    return normalized(df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "v").mapInArrow(pack, "n int, dim int, ids binary, vectors binary, whole binary")
+
+
+_BLOCK_SCHEMA = pa.schema([("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("whole", pa.binary())])
+_NO_ID = -(1 << 63)
+#: Points of a block, and places of a rounded score within which two sums of one product may differ.
+POINT_BLOCK, _DOUBT = 1024, 1e-5
+#: Pairs of blocks that go to Python at a time.
+PAIRS = 8
+
+
+class _Best:
+    """The best k points of each query of a block so far, with those that rounding leaves in doubt.
+
+    A product of matrices finds the points that may be among the best; their scores are then summed
+    term by term in the order of `dot`, so that they are the same to the last bit.
+    """
+
+    def __init__(self, qids: np.ndarray, k: int) -> None:
+        self.k, self.qids = k, qids
+        self.low, self.last = np.full(len(qids), -np.inf), np.full(len(qids), np.iinfo(np.int64).max)
+        self.full = np.zeros(len(qids), bool)
+        self.q, self.ids, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.null = np.empty(0, bool)
+
+    def _sides(self, score: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rounded scores, as low and as high as they may be; nulls come last and NaN first."""
+        out = []
+        for doubt in (-_DOUBT, _DOUBT):
+            x = np.floor(score * 1e6 + 0.5 + doubt)
+            x[np.isnan(x)] = np.inf
+            x[null] = -1e300
+            out.append(x)
+        return out[0], out[1]
+
+    def add(self, ids: np.ndarray, p: np.ndarray | None, q: np.ndarray | None, p_whole: np.ndarray, q_whole: np.ndarray) -> None:
+        if p is None or q is None:  # lengths that differ, or no vectors: all null
+            may = np.repeat(~self.full[None, :] | (self.low[None, :] <= -1e300), len(p_whole), 0)
+            i, j = np.nonzero(may)
+            score, null = np.zeros(len(i)), np.ones(len(i), bool)
+        else:
+            near = p @ q.T
+            limit = np.where(self.full, (self.low - 1.0) / 1e6, -np.inf)
+            if not self.full.all() and len(ids) > self.k:  # the block's own k best bound what may come
+                limit = np.maximum(limit, np.where(np.isnan(near).any(0), -np.inf, np.partition(near, len(ids) - self.k, 0)[len(ids) - self.k] - 2e-6))
+            i, j = np.nonzero(~(near < limit[None, :]))
+            few = ~self.full[j] | (np.floor(near[i, j] * 1e6 + 0.5 + _DOUBT) > self.low[j]) | (ids[i] <= self.last[j]) | np.isnan(near[i, j])
+            i, j = i[few], j[few]
+            score, null = np.empty(len(i)), np.zeros(len(i), bool)
+            for at in range(0, len(i), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                score[part] = (p[i[part]] * q[j[part]]).cumsum(1)[:, -1] if p.shape[1] else 0.0
+        if len(i):
+            self._merge(np.concatenate([self.q, j]), np.concatenate([self.ids, ids[i]]), np.concatenate([self.score, score]), np.concatenate([self.null, null]))
+
+    def _merge(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray, null: np.ndarray) -> None:
+        low, high = self._sides(score, null)
+        order = np.lexsort((ids, -low, q))
+        q, ids, score, null, low, high = (x[order] for x in (q, ids, score, null, low, high))
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.full[q[last]], self.low[q[last]], self.last[q[last]] = True, low[last], ids[last]
+        keep = ~self.full[q] | (high > self.low[q]) | ((high == self.low[q]) & (ids <= self.last[q]))
+        self.q, self.ids, self.score, self.null = q[keep], ids[keep], score[keep], null[keep]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.q), 1 << 16):
+            q, ids, score, null = (x[at : at + (1 << 16)] for x in (self.qids[self.q], self.ids, self.score, self.null))
+            yield pa.RecordBatch.from_arrays([pa.array(q, mask=q == _NO_ID), pa.array(ids, mask=ids == _NO_ID), pa.array(score, mask=null, from_pandas=False)], names=["q", "p", "dot"])
+
+
 def dense_topk(points: DataFrame, queries: DataFrame, k: int, point_id: str, vector: str = "embedding", match: Column | None = None) -> DataFrame:
     """(qid, point id, score, rank): the k nearest points of every query, ties by id.
 
-    The stated queries (qid, qvec) go to every task in blocks of about QUERY_BLOCK; each task keeps
-    its own k best of a query before anything is shuffled. With more than one block, each block's
-    hits are written before the next is sent.
+    Every point is scored for every query. The stated queries (qid, qvec) are packed and go to every
+    task in blocks; a task multiplies its blocks of points with them and keeps its own k best of a query. With
+    more queries than QUERY_BLOCK, each part's hits are written before the next is sent. Searches with
+    `match`, and ids that are not whole numbers, are scored pair by pair.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    if blocks <= 1:
+    spark, whole = points.sparkSession, (LongType, IntegerType, ShortType, ByteType)
+    types = points.schema[point_id].dataType, queries.schema["qid"].dataType
+    packed = match is None and all(isinstance(t, whole) for t in types)
+    blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
+    if not packed and blocks == 1:
         return _search_block(points, queries, k, point_id, vector, match)
+    if packed:
+        dealt = points.select(point_id, vector).repartition(spark.sparkContext.defaultParallelism)
+        held, held_path = materialize(_packed(dealt, point_id, vector, POINT_BLOCK), "points")
     found = None
     for i in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        hits, _ = materialize(_search_block(points, block, k, point_id, vector, match), "hits")
+        if packed:
+            hits = _search_packed(held, block, k).toDF("qid", point_id, "dot").select(F.col("qid").cast(types[1]), F.col(point_id).cast(types[0]), F.round("dot", 6).alias("score"))
+        else:
+            hits, _ = materialize(_search_block(points, block, k, point_id, vector, match), "hits")
         found = hits if found is None else found.union(hits)
+    if not packed:
+        return found
+    discard(spark, held_path)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), point_id)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _search_packed(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, p, dot) of the best k points of each query in each task, and those in doubt; points are packed, queries (qid, qvec) make one or two blocks."""
+    spark, key = points.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked, asked_path = materialize(_packed(queries.repartition(1), "qid", "qvec", 2048), "asked")  # at most about QUERY_BLOCK rows
+    pairs = points.crossJoin(F.broadcast(asked.toDF("q_n", "q_dim", "q_ids", "q_vectors", "q_whole")))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, _Best] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
+                if x["q_ids"] not in held:
+                    held[x["q_ids"]] = _Best(np.frombuffer(x["q_ids"], np.int64), k)
+                alike = x["dim"] == x["q_dim"] >= 0
+                p, q = (np.frombuffer(x[v], np.float64).reshape(x[n], x["dim"]) if alike else None for v, n in (("vectors", "n"), ("q_vectors", "q_n")))
+                held[x["q_ids"]].add(np.frombuffer(x["ids"], np.int64), p, q, np.frombuffer(x["whole"], bool), np.frombuffer(x["q_whole"], bool))
+        for b in held.values():
+            yield from b.rows()
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PAIRS))  # a row holds a megabyte or two
+    try:
+        found, _ = materialize(pairs.mapInArrow(best, "q long, p long, dot double"), "hits")
+    finally:
+        spark.conf.set(key, before)
+    discard(spark, asked_path)
     return found
 
 
