@@ -4,13 +4,15 @@ One Python step turns texts into ids and byte ends of tokens under a byte-level
 under a piece vocabulary (B). Both tokenizers see a text in fragments cut before single spaces that
 follow a non-space: no token of A holds white space after a non-space, and B is cut there only where
 none of its pieces does. A block of documents holds each of its fragments once, and its documents
-point to them, so that an equal fragment is tokenized and aligned once for the block.
+point to them; how tokens share bytes depends on their ends alone, so a block also holds each pair
+of A's and B's ends once (a shape), which is aligned once for all fragments that have it.
 
-All that follows is expressions over arrays. `array_intersect` of a fragment's end arrays gives the
+All that follows is expressions over arrays. `array_intersect` of a shape's end arrays gives the
 offsets where tokens of both end, which cut the tokens into groups (a fragment's end always does).
 Both end arrays are merged by one sort; where A's token i comes in that order, less i, counts the B
 tokens that end before it, so each A token has the run of B tokens that share bytes with it, which
-`sequence` writes out as links. Steps take time linear in the tokens, but for the sort. Counts of id
+`sequence` writes out as links. Fragments put their ids into their shape's groups and links. Steps
+take time linear in the tokens, but for the sort. Counts of id
 pairs over documents are a plain aggregate of the distinct pairs of each document, joined back.
 
 Defined cases: null and empty texts, and texts whose tokens do not spell a space and the text again
@@ -23,7 +25,9 @@ best; other columns, whatever their names, play no part.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +35,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.functions.arrays import let
 from gristmill.llm.bpe import VOCAB, encoder, vocab_path
-from gristmill.llm.common import BROADCAST_NUMBERS, column, map_rows, materialize, small_enough
+from gristmill.llm.common import BROADCAST_NUMBERS, bound_batches, column, materialize, small_enough
 
 PIECES = "piece_bpe_32k.model"
-#: Entries of the fragment cache, and the longest fragment that it keeps.
+#: Entries of the cache of fragments encoded alone, and the longest fragment that it keeps.
 CACHE, CACHED_LEN = 300_000, 64
 #: Characters of a block of documents, but for a longer text alone.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 3_000_000
+#: Fragments that are encoded as one text.
+TOGETHER = 20_000
+#: Ends of both sides below this are bits of one number.
+MASKED = 32
+#: Fragments that may be encoded together: no white space at their ends or inside but line ends and tabs, and letters that all versions of Unicode know.
+_PLAIN = re.compile(r"[!-~\xc0-\u024f](?:[\t\n!-~\xc0-\u024f]*[!-~\xc0-\u024f])?").fullmatch
 _CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 _UNEVEN = re.compile(r"\s |^ | $")
 
 
-class PairTokenizer:
-    """Both tokenizers, and a cache of fragments without their leading space.
+class Fragments:
+    """Fragments of a block: `ids`, A's and then B's of each, the place of each one's first id in `at`, `n_a`, `n_b`, and `ends` like `ids`; those that the tokens spell otherwise have none."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
+        self.ids, self.ends, self.n_a, self.n_b = ids, ends, n_a, n_b
+        self.at = np.r_[0, np.cumsum(n_a + n_b)]
+
+    def __len__(self) -> int:
+        return len(self.n_a)
+
+    def __getitem__(self, i: int) -> tuple[bytes, bytes, bytes, bytes]:
+        """A's ids and ends and B's ids and ends, as little-endian bytes."""
+        low, high = self.at[i], self.at[i + 1]
+        mid = low + self.n_a[i]
+        return self.ids[low:mid].tobytes(), self.ends[low:mid].tobytes(), self.ids[mid:high].tobytes(), self.ends[mid:high].tobytes()
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all ids of some fragments, one after the other, and how many each has."""
+        sizes = self.at[which + 1] - self.at[which]
+        return np.repeat(self.at[which] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()), sizes
+
+    def shapes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, shape): a fragment of each distinct pair of A's and B's ends, and which of them each fragment has; fragments of MASKED bytes or more are shapes of their own."""
+        n = len(self)
+        owner = np.repeat(np.arange(n), self.n_a + self.n_b)
+        of_b = np.arange(len(self.ids)) - self.at[owner] >= self.n_a[owner]
+        long = np.zeros(n, bool)
+        long[owner[self.ends >= MASKED]] = True
+        bits = np.left_shift(np.uint64(1), (np.where(long[owner], 0, self.ends) + MASKED * of_b).astype(np.uint64))
+        # every end of a side is a bit of its own, so sums are unions; prefix sums wrap around, their differences do not
+        total = np.r_[np.uint64(0), np.cumsum(bits, dtype=np.uint64)]
+        mask = total[self.at[1:]] - total[self.at[:-1]]
+        short, own = np.flatnonzero(~long), np.flatnonzero(long)
+        _, first, inverse = np.unique(mask[short], return_index=True, return_inverse=True)
+        shape = np.empty(n, np.int32)
+        shape[short], shape[own] = inverse, len(first) + np.arange(len(own))
+        return np.r_[short[first], own], shape
 
-    It holds A's ids and ends and B's ids and ends as little-endian bytes, n_a and n_b; None where the tokens spell something else.
-    """
+
+class PairTokenizer:
+    """Both tokenizers. Fragments come without their leading space; of those that are encoded alone, a cache holds A's and B's ids, None where the tokens spell something else."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -70,52 +117,79 @@ class PairTokenizer:
             return text.split(" ")
         return [x[1:] for x in _CUT.split(" " + text)]
 
-    def _learn(self, fragments: list[str]) -> dict[str, tuple | None]:
-        """Encode fragments that are not in the cache, all together."""
-        raw = [b" " + x.encode("utf-8", "replace") for x in fragments]
-        sides = []
-        for found, lengths in ((list(map(self.a.whole_words, raw)), self.a_len), (self.b.encode(fragments, num_threads=1), self.b_len)):
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
-            ends = np.cumsum(lengths[ids])
-            last = np.cumsum(counts)
-            total = np.r_[0, ends][last]  # bytes up to the end of each fragment
-            own = ends - np.repeat(np.r_[0, total[:-1]], counts)
-            at = [0, *(4 * last).tolist()]
-            whole = ids.astype("<i4").tobytes(), own.astype("<i4").tobytes()
-            sides.append([[x[i:j] for i, j in zip(at, at[1:])] for x in whole] + [np.diff(np.r_[0, total]), counts, found])
-        (a_ids, a_ends, a_size, n_a, a_found), (b_ids, b_ends, b_size, n_b, b_found) = sides
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        spelt = (a_size == size) & (b_size == size)
-        spelt[spelt] = [
-            b"".join(map(self.a.token_bytes.__getitem__, a_found[i])) == raw[i] == b"".join(map(self.b_bytes.__getitem__, b_found[i])) for i in np.flatnonzero(spelt)
-        ]
-        values = zip(a_ids, a_ends, b_ids, b_ends, n_a.tolist(), n_b.tolist())
-        return {x: value if ok else None for x, value, ok in zip(fragments, values, spelt.tolist())}
-
-    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[tuple], np.ndarray]:
+    def _alone(self, fragment: str) -> tuple[list[int], list[int]] | None:
+        """A's and B's ids of a fragment, None where they spell something else."""
+        if fragment in self.cache:
+            return self.cache[fragment]
+        raw = b" " + fragment.encode("utf-8", "replace")
+        a, b = self.a.whole_words(raw), self.b.encode(fragment, num_threads=1)
+        value = (a, b) if b"".join(map(self.a.token_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)) else None
+        if len(fragment) <= CACHED_LEN:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[fragment] = value
+        return value
+
+    def _together(self, fragments: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """(ids, counts of each fragment) of A, from one text of all fragments, which ends a token before each of its spaces, and of B; None where the tokens spell something else."""
+        raw = b" " + " ".join(fragments).encode()
+        a = np.frombuffer(self.a.core._core_bpe.encode_to_tiktoken_buffer(raw.decode(), set()), np.uint32).astype(np.int32)
+        found = self.b.encode(fragments, num_threads=1)
+        b = np.fromiter(chain.from_iterable(found), np.int32)
+        if not b"".join(map(self.a.token_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+            return None
+        n_b = np.fromiter(map(len, found), np.int64, len(fragments))
+        a_ends, last = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])[np.cumsum(n_b) - 1]
+        upto = np.searchsorted(a_ends, last, side="right")
+        size = np.fromiter(map(len, raw[1:].split(b" ")), np.int64, len(fragments)) + 1
+        if not ((a_ends[upto - 1] == last).all() and (np.cumsum(size) == last).all()):
+            return None
+        return [(a, np.diff(np.r_[0, upto])), (b, n_b)]
+
+    def learn(self, fragments: list[str]) -> tuple[Fragments, np.ndarray]:
+        """All fragments encoded, and which are spelt."""
+        n = len(fragments)
+        plain = np.fromiter((_PLAIN(x) is not None for x in fragments), bool, n) & (self.cuts and self.a.core is not None)
+        spelt, groups = np.ones(n, bool), []
+        where = np.flatnonzero(plain)
+        for begin in range(0, len(where), TOGETHER):
+            part = where[begin : begin + TOGETHER]
+            sides = self._together([fragments[i] for i in part.tolist()])
+            if sides is None:
+                plain[part] = False
+            else:
+                groups.append((part, *sides))
+        odd = np.flatnonzero(~plain)
+        found = [self._alone(fragments[i]) for i in odd.tolist()]
+        spelt[odd] = [x is not None for x in found]
+        each = [x or ([], []) for x in found]
+        flat = [np.fromiter(chain.from_iterable(x[k] for x in each), np.int32) for k in (0, 1)]
+        groups.append((odd, *((ids, np.fromiter((len(x[k]) for x in each), np.int64, len(odd))) for k, ids in enumerate(flat))))
+        counts = np.zeros((2, n), np.int64)
+        for part, *sides in groups:
+            for k, (_, own) in enumerate(sides):
+                counts[k, part] = own
+        both = Fragments(np.zeros(int(counts.sum()), np.int32), np.zeros(int(counts.sum()), np.int32), *counts)
+        for part, *sides in groups:
+            for k, ((ids, own), lengths) in enumerate(zip(sides, (self.a_len, self.b_len))):
+                ends, before = np.cumsum(lengths[ids]), np.cumsum(own) - own
+                base = np.r_[0, ends][before]
+                place = np.repeat(both.at[part] + (counts[0, part] if k else 0) - before, own) + np.arange(len(ids))
+                both.ids[place], both.ends[place] = ids, ends - np.repeat(base, own)
+        return both, spelt
+
+    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], Fragments, np.ndarray]:
         """For texts taken together: each one's fragments as indexes, the distinct fragments, and (n_a, n_b) of each text; texts that are not spelt have none."""
         cut = list(map(self.fragments, texts))
-        place = {x: i for i, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-        new = [x for x in place if x not in self.cache]
-        if new:
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {x: self.cache[x] for x in place if x in self.cache}
-            self.cache |= self._learn(new)
-        found = list(map(self.cache.__getitem__, place))
-        for x in new:
-            if len(x) > CACHED_LEN:
-                del self.cache[x]
-        sizes = np.array([(x[4], x[5]) if x else (-1, -1) for x in found], np.int64).reshape(-1, 2)
-        words, counts = [], np.zeros((len(texts), 2), np.int64)
-        for i, fragments in enumerate(cut):
-            at = np.fromiter(map(place.__getitem__, fragments), np.int32, len(fragments))
-            if len(at) and (sizes[at, 0] >= 0).all():
-                counts[i] = sizes[at].sum(axis=0)
-            else:
-                at = at[:0]
-            words.append(at)
-        return words, found, counts
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        place: defaultdict[str, int] = defaultdict(count().__next__)
+        words = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int32, int(sizes.sum()))
+        found, spelt = self.learn(list(place))
+        last = np.cumsum(sizes)
+        summed = lambda x: np.diff(np.r_[0, np.cumsum(x[words])][np.r_[0, last]])
+        whole = summed((~spelt).astype(np.int64)) == 0
+        counts = np.stack([summed(found.n_a), summed(found.n_b)], axis=1) * whole[:, None]
+        return [words[b - n : b] if ok else words[:0] for n, b, ok in zip(sizes.tolist(), last.tolist(), whole.tolist())], found, counts
 
 
 _loaded: dict[tuple[str, str], PairTokenizer] = {}
@@ -127,13 +201,8 @@ def pair_tokenizer(a_path: str, b_path: str) -> PairTokenizer:
     return _loaded[a_path, b_path]
 
 
-_INTS = pa.list_(pa.int32())
-_FRAGMENT = ("a_ids", "a_ends", "b_ids", "b_ends")
-
-
-def _lists(parts: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *(len(x) // 4 for x in parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
 
 def _one(values: pa.Array) -> pa.ListArray:
@@ -142,73 +211,88 @@ def _one(values: pa.Array) -> pa.ListArray:
 
 
 def tokenize_pairs(docs: DataFrame, text: str, carry: list[str], a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """Blocks of documents: `docs` (carry columns as c0, c1, ..., n_a, n_b, words) and `fragments` (a_ids, a_ends, b_ids, b_ends), which words point to.
+    """Blocks of documents: `docs` (carry columns as c0, c1, ..., n_a, n_b, words), `fragments` (shape, ids), which words point to, and `shapes` (a_ends, b_ends).
 
-    A block holds each of its fragments once, so that they are aligned once.
+    A block holds each of its fragments once, A's ids before B's, and each pair of ends that they have once.
     """
     a_path, b_path = a_path or vocab_path(VOCAB), b_path or vocab_path(PIECES)
     named = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(carry)], column(text).alias("t"))
     ints = T.ArrayType(T.IntegerType(), False)
     own = [named.schema[f"c{i}"] for i in range(len(carry))]
     doc = T.StructType([*own, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("words", ints)])
-    schema = T.StructType([T.StructField("docs", T.ArrayType(doc)), T.StructField("fragments", T.ArrayType(T.StructType([T.StructField(x, ints) for x in _FRAGMENT])))])
-
-    def make():
+    fragment = T.StructType([T.StructField("shape", T.IntegerType()), T.StructField("ids", ints)])
+    shape = T.StructType([T.StructField("a_ends", ints), T.StructField("b_ends", ints)])
+    schema = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in (("docs", doc), ("fragments", fragment), ("shapes", shape))])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[str | None]]]:
+        """Runs of rows of BLOCK_CHARS, over the bounds of batches: carried columns and texts."""
+        parts, texts, size = [], [], 0
+        for batch in batches:
+            begin, new = 0, batch.column(len(carry)).to_pylist()
+            for end, x in enumerate(new):
+                n = len(x or "")
+                if size and size + n > BLOCK_CHARS:
+                    parts.append(batch.slice(begin, end - begin))
+                    yield [pa.concat_arrays([p.column(i) for p in parts]) for i in range(len(carry))], texts + new[begin:end]
+                    parts, texts, size, begin = [], [], 0, end
+                size += n
+            parts.append(batch.slice(begin))
+            texts += new[begin:]
+        if texts:
+            yield [pa.concat_arrays([p.column(i) for p in parts]) for i in range(len(carry))], texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair_tokenizer(a_path, b_path)
+        for carried, texts in blocks(batches):
+            words, found, counts = both.block(texts)
+            first, shapes = found.shapes()
+            at, sizes = found.take(first)
+            of_a = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(found.n_a[first], sizes)
+            lists = _lists(np.concatenate(words), [len(x) for x in words])
+            columns = [*carried, pa.array(counts[:, 0]), pa.array(counts[:, 1]), lists]
+            ends = [_lists(found.ends[at[side]], n[first]) for side, n in ((of_a, found.n_a), (~of_a, found.n_b))]
+            rows = [
+                pa.StructArray.from_arrays(columns, doc.fieldNames()), pa.StructArray.from_arrays([pa.array(shapes), _lists(found.ids, np.diff(found.at))], fragment.fieldNames()),
+                pa.StructArray.from_arrays(ends, shape.fieldNames()),
+            ]
+            yield pa.RecordBatch.from_arrays(list(map(_one, rows)), names=schema.fieldNames())
 
-        def step(batch: pa.RecordBatch):
-            texts, begin = batch.column(len(carry)).to_pylist(), 0
-            sizes = np.cumsum([len(x or "") for x in texts])
-            while begin < len(texts):
-                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + BLOCK_CHARS, side="right")))
-                words, found, counts = both.block(texts[begin:end])
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)], dtype=np.int32)), pa.array(np.concatenate(words)))
-                columns = [*(x.slice(begin, end - begin) for x in batch.columns[: len(carry)]), pa.array(counts[:, 0]), pa.array(counts[:, 1]), lists]
-                some = [x or (b"", b"", b"", b"") for x in found]
-                fragments = pa.StructArray.from_arrays([_lists([x[k] for x in some]) for k in range(4)], list(_FRAGMENT))
-                yield pa.RecordBatch.from_arrays([_one(pa.StructArray.from_arrays(columns, doc.fieldNames())), _one(fragments)], names=["docs", "fragments"])
-                begin = end
+    bound_batches(docs.sparkSession)
+    return named.mapInArrow(run, schema)
 
-        return step
 
-    return map_rows(named, schema, make)
+def _step(array: str, **new: str) -> str:
+    """SQL of array with each f in it replaced by a struct of new values. Steps nest as arguments, which are worked out once, whatever an optimizer merges."""
+    return f"transform({array}, f -> named_struct({', '.join(f'{k!r}, {v}' for k, v in new.items())}))"
 
 
 def _aligned() -> str:
-    """SQL of (n, groups, links) of all fragments: A's and B's ids of their n groups as text, and their links as A's id * 2^32 + B's id.
-
-    Steps nest as arguments, which are worked out once, whatever an optimizer merges.
-    """
-    step = lambda array, **new: f"transform({array}, f -> named_struct({', '.join(f'{k!r}, {v}' for k, v in new.items())}))"
-    text = lambda a, b: f"concat(array_join(CAST({a} AS ARRAY<STRING>), ','), '|', array_join(CAST({b} AS ARRAY<STRING>), ','))"
-    pair = "shiftleft(CAST({} AS BIGINT), 32) | {}"
-    part = lambda ids, last: f"slice(f.{ids}, IF(g = 0, 1, {last('g - 1')} + 2), {last('g')} - IF(g = 0, -1, {last('g - 1')}))"
-    ids = {"a": "f.a", "b": "f.b"}
-    single = "size(f.a_ids) = 1 OR size(f.b_ids) = 1"  # such tokens share bytes with all of the other side: one group, and no more steps
+    """SQL of (order, links) of all shapes: marks and tokens of their groups, as places in `;`, `,`, `|`, A's tokens and B's, and the pairs of A's and B's tokens that share bytes, by place among both."""
     # all ends in one order, A's before B's where they are equal; the lower bits tell the side and A's index
     order = "sort_array(concat(transform(f.a_ends, (e, i) -> shiftleft(CAST(e AS BIGINT), 32) | i), transform(f.b_ends, e -> shiftleft(CAST(e AS BIGINT), 32) | 2147483648L)))"
     # A's token i shares bytes with B's up to hi[i]: as many of B's end before it as its place in that order tells
     hi = f"filter(transform({order}, (c, k) -> IF((c & 2147483648L) = 0, k - CAST(c & 2147483647L AS INT), -1)), v -> v >= 0)"
-    high = step("fragments", a="f.a_ids", b="f.b_ids", ae=f"IF({single}, NULL, f.a_ends)", be="f.b_ends", hi=f"IF({single}, NULL, {hi})")
-    low = step(
-        high, **ids, hi="f.hi", cuts="IF(f.hi IS NULL, NULL, array_intersect(f.ae, f.be))", al="filter(transform(f.hi, (x, i) -> IF(f.be[x] = f.ae[i], i, -1)), v -> v >= 0)",
+    high = _step("shapes", ae="f.a_ends", be="f.b_ends", hi=hi)
+    low = _step(
+        high, m="size(f.ae)", hi="f.hi", cuts="array_intersect(f.ae, f.be)", al="filter(transform(f.hi, (x, i) -> IF(f.be[x] = f.ae[i], i, -1)), v -> v >= 0)",
         lo="transform(f.hi, (h, i) -> IF(i = 0, 0, f.hi[i - 1] + IF(f.be[f.hi[i - 1]] = f.ae[i - 1], 1, 0)))",
     )
-    groups = f"array_join(transform(f.cuts, (x, g) -> {text(part('a', 'f.al[{}]'.format), part('b', 'f.hi[f.al[{}]]'.format))}), ';')"
-    crossed = f"transform(f.a, a -> transform(f.b, b -> {pair.format('a', 'b')}))"
-    linked = f"transform(f.hi, (h, i) -> transform(sequence(f.lo[i], h), j -> {pair.format('f.a[i]', 'f.b[j]')}))"
-    return step(
-        low, n="IF(f.hi IS NULL, 1, size(f.cuts))", groups=f"IF(f.hi IS NULL, {text('f.a', 'f.b')}, {groups})", links=f"flatten(IF(f.hi IS NULL, {crossed}, {linked}))"
-    )
+    part = lambda last, base, mark: f"transform(sequence(IF(g = 0, 0, {last('g - 1')} + 1), {last('g')}), (i, k) -> IF(k > 0, array(1, {base} + i), {mark.format(f'{base} + i')}))"
+    ordered = f"flatten(flatten(transform(f.cuts, (x, g) -> concat({part('f.al[{}]'.format, '3', 'IF(g = 0, array({0}), array(0, {0}))')}, {part('f.hi[f.al[{}]]'.format, '3 + f.m', 'array(2, {0})')}))))"
+    return _step(low, order=ordered, links="flatten(transform(f.hi, (h, i) -> transform(sequence(f.lo[i], h), j -> named_struct('i', i, 'j', f.m + j))))")
 
 
 def align(docs: DataFrame, text: str, carry: list[str], a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """carry columns as c0, c1, ..., n_a, n_b, n_groups, `groups` (A's ids, `|`, B's ids of each, parted by `;`) and `links` (A's id * 2^32 + B's id of each), in the order of the text."""
-    blocks = tokenize_pairs(docs, text, carry, a_path, b_path).select("docs", F.expr(_aligned()).alias("t"))
+    joined = let("array_join(transform(s[f.shape].order, x -> pool[x]), '')", pool="concat(array(';', ',', '|'), CAST(f.ids AS ARRAY<STRING>))")
+    filled = _step("fragments", groups=joined, links="transform(s[f.shape].links, x -> shiftleft(CAST(f.ids[x.i] AS BIGINT), 32) | f.ids[x.j])")
+    # a lambda's result is copied, so that of all documents is no lambda's: t is a column below the generator, and rows that are copied from it are flat bytes
+    blocks = tokenize_pairs(docs, text, carry, a_path, b_path).select("docs", F.expr(let(filled, s=_aligned())).alias("t"))
     own = ", ".join(f"'{x}', d.{x}" for x in [*(f"c{i}" for i in range(len(carry))), "n_a", "n_b"])
-    whole = f"""transform(docs, d -> named_struct({own}, 'n_groups', aggregate(d.words, 0L, (s, w) -> s + t[w].n),
-        'groups', array_join(transform(d.words, w -> t[w].groups), ';'), 'links', flatten(transform(d.words, w -> t[w].links))))"""
-    return blocks.select(F.explode(F.expr(whole)).alias("d")).select("d.*")
+    whole = f"transform(docs, d -> named_struct({own}, 'groups', array_join(transform(d.words, w -> t[w].groups), ';'), 'links', flatten(transform(d.words, w -> t[w].links))))"
+    # the tokens of a group have one link less than they are, as each but the last end of a side opens one
+    groups = (F.col("d.n_a") + F.col("d.n_b") - F.size("d.links")).alias("n_groups")
+    return blocks.select(F.explode(F.expr(whole)).alias("d")).select(*(f"d.c{i}" for i in range(len(carry))), "d.n_a", "d.n_b", groups, "d.groups", "d.links")
 
 
 def pair_counts(docs: DataFrame) -> DataFrame:
