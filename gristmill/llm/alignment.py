@@ -11,7 +11,8 @@ All that follows is expressions over arrays. `array_intersect` of a shape's end
 offsets where tokens of both end, which cut the tokens into groups (a fragment's end always does).
 Both end arrays are merged by one sort; where A's token i comes in that order, less i, counts the B
 tokens that end before it, so each A token has the run of B tokens that share bytes with it, which
-`sequence` writes out as links. Fragments put their ids into their shape's groups and links. Steps
+`sequence` writes out as links. Fragments put their tokens into their shape's groups and links; of
+each distinct token, a block holds the text in groups and the half of a link once. Steps
 take time linear in the tokens, but for the sort. Counts of id
 pairs over documents are a plain aggregate of the distinct pairs of each document, joined back.
 
@@ -48,10 +49,22 @@ BLOCK_CHARS = 3_000_000
 TOGETHER = 20_000
 #: Ends of both sides below this are bits of one number.
 MASKED = 32
-#: Fragments that may be encoded together: no white space at their ends or inside but line ends and tabs, and letters that all versions of Unicode know.
-_PLAIN = re.compile(r"[!-~\xc0-\u024f](?:[\t\n!-~\xc0-\u024f]*[!-~\xc0-\u024f])?").fullmatch
+#: Where joined fragments, each with a space before and after it, may not be encoded together: empty ones, white space at their ends or inside but line ends and tabs, and letters that some versions of Unicode do not know.
+_ODD = re.compile(r"[^\t\n -~\xc0-\u024f]+|[\t\n](?= )| (?=[\t\n ])")
 _CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
-_UNEVEN = re.compile(r"\s |^ | $")
+#: White space before a space, found from the space on, as few characters are one.
+_UNEVEN = re.compile(r" (?<=\s )")
+
+
+def plain(fragments: list[str]) -> np.ndarray:
+    """Which fragments may be encoded together. They are searched as one text, so that only odd ones take a step each."""
+    may = np.ones(len(fragments), bool)
+    # a fragment's own space at its begin or end is two in a row, and the first of two belongs to the fragment that it begins
+    found = np.fromiter((m.start() for m in _ODD.finditer(f" {' '.join(fragments)} ")), np.int64)
+    if len(fragments) and len(found):
+        begins = np.cumsum(np.fromiter(map(len, fragments), np.int64, len(fragments)) + 1)
+        may[np.searchsorted(begins[:-1], found, side="right")] = False
+    return may
 
 
 class Fragments:
@@ -107,13 +120,17 @@ class PairTokenizer:
         #: Whether B may be cut before a space too.
         self.cuts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
         self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a.token_bytes, self.b_bytes))
+        n_a, n_b = len(self.a_len), len(self.b_len)
+        #: What stands between tokens of a side in a group, then of all A's and B's tokens the text in groups, with what begins or halves them, and the half of a link.
+        self.names = pa.array([",", *(f";{i}" for i in range(n_a)), *(f"|{i}" for i in range(n_b))])
+        self.halves = np.r_[0, np.arange(n_a, dtype=np.int64) << 32, np.arange(n_b)]
 
     def fragments(self, text: str | None) -> list[str]:
         if not text:
             return []
         if not self.cuts:
             return [text]
-        if not _UNEVEN.search(text):
+        if text[0] != " " and text[-1] != " " and not _UNEVEN.search(text):
             return text.split(" ")
         return [x[1:] for x in _CUT.split(" " + text)]
 
@@ -149,17 +166,17 @@ class PairTokenizer:
     def learn(self, fragments: list[str]) -> tuple[Fragments, np.ndarray]:
         """All fragments encoded, and which are spelt."""
         n = len(fragments)
-        plain = np.fromiter((_PLAIN(x) is not None for x in fragments), bool, n) & (self.cuts and self.a.core is not None)
+        together = plain(fragments) if self.cuts and self.a.core is not None else np.zeros(n, bool)
         spelt, groups = np.ones(n, bool), []
-        where = np.flatnonzero(plain)
+        where = np.flatnonzero(together)
         for begin in range(0, len(where), TOGETHER):
             part = where[begin : begin + TOGETHER]
             sides = self._together([fragments[i] for i in part.tolist()])
             if sides is None:
-                plain[part] = False
+                together[part] = False
             else:
                 groups.append((part, *sides))
-        odd = np.flatnonzero(~plain)
+        odd = np.flatnonzero(~together)
         found = [self._alone(fragments[i]) for i in odd.tolist()]
         spelt[odd] = [x is not None for x in found]
         each = [x or ([], []) for x in found]
@@ -178,6 +195,18 @@ class PairTokenizer:
                 both.ids[place], both.ends[place] = ids, ends - np.repeat(base, own)
         return both, spelt
 
+    def tokens(self, found: Fragments) -> tuple[np.ndarray, np.ndarray]:
+        """(used, at): rows of names and halves that the fragments use, row 0 first, and of each fragment's ids, with 0 before them, the place among those."""
+        n, sizes = len(found), np.diff(found.at)
+        place = np.repeat(np.arange(1, n + 1), sizes) + np.arange(len(found.ids))
+        of_b = place - np.repeat(found.at[:-1] + np.arange(1, n + 1), sizes) >= np.repeat(found.n_a, sizes)
+        row = found.ids + np.where(of_b, 1 + len(self.a_len), 1)
+        there = np.zeros(len(self.halves), bool)
+        there[0] = there[row] = True
+        at = np.zeros(len(row) + n, np.int32)
+        at[place] = (np.cumsum(there) - 1)[row]
+        return np.flatnonzero(there), at
+
     def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], Fragments, np.ndarray]:
         """For texts taken together: each one's fragments as indexes, the distinct fragments, and (n_a, n_b) of each text; texts that are not spelt have none."""
         cut = list(map(self.fragments, texts))
@@ -211,18 +240,19 @@ def _one(values: pa.Array) -> pa.ListArray:
 
 
 def tokenize_pairs(docs: DataFrame, text: str, carry: list[str], a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """Blocks of documents: `docs` (carry columns as c0, c1, ..., n_a, n_b, words), `fragments` (shape, ids), which words point to, and `shapes` (a_ends, b_ends).
+    """Blocks of documents: `docs` (carry columns as c0, c1, ..., n_a, n_b, words), `fragments` (shape, tokens), which words point to, `shapes` (a_ends, b_ends), and `names` and `halves`, which tokens point to.
 
-    A block holds each of its fragments once, A's ids before B's, and each pair of ends that they have once.
+    A block holds each of its fragments once, 0, A's tokens and then B's, and each pair of ends and each token that they have once.
     """
     a_path, b_path = a_path or vocab_path(VOCAB), b_path or vocab_path(PIECES)
     named = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(carry)], column(text).alias("t"))
     ints = T.ArrayType(T.IntegerType(), False)
     own = [named.schema[f"c{i}"] for i in range(len(carry))]
     doc = T.StructType([*own, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("words", ints)])
-    fragment = T.StructType([T.StructField("shape", T.IntegerType()), T.StructField("ids", ints)])
+    fragment = T.StructType([T.StructField("shape", T.IntegerType()), T.StructField("tokens", ints)])
     shape = T.StructType([T.StructField("a_ends", ints), T.StructField("b_ends", ints)])
-    schema = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in (("docs", doc), ("fragments", fragment), ("shapes", shape))])
+    columns = {"docs": doc, "fragments": fragment, "shapes": shape, "names": T.StringType(), "halves": T.LongType()}
+    schema = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in columns.items()])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[str | None]]]:
         """Runs of rows of BLOCK_CHARS, over the bounds of batches: carried columns and texts."""
@@ -250,10 +280,11 @@ def tokenize_pairs(docs: DataFrame, text: str, carry: list[str], a_path: str | N
             of_a = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(found.n_a[first], sizes)
             lists = _lists(np.concatenate(words), [len(x) for x in words])
             columns = [*carried, pa.array(counts[:, 0]), pa.array(counts[:, 1]), lists]
+            used, tokens = both.tokens(found)
             ends = [_lists(found.ends[at[side]], n[first]) for side, n in ((of_a, found.n_a), (~of_a, found.n_b))]
             rows = [
-                pa.StructArray.from_arrays(columns, doc.fieldNames()), pa.StructArray.from_arrays([pa.array(shapes), _lists(found.ids, np.diff(found.at))], fragment.fieldNames()),
-                pa.StructArray.from_arrays(ends, shape.fieldNames()),
+                pa.StructArray.from_arrays(columns, doc.fieldNames()), pa.StructArray.from_arrays([pa.array(shapes), _lists(tokens, np.diff(found.at) + 1)], fragment.fieldNames()),
+                pa.StructArray.from_arrays(ends, shape.fieldNames()), both.names.take(pa.array(used)), pa.array(both.halves[used]),
             ]
             yield pa.RecordBatch.from_arrays(list(map(_one, rows)), names=schema.fieldNames())
 
@@ -267,29 +298,36 @@ def _step(array: str, **new: str) -> str:
 
 
 def _aligned() -> str:
-    """SQL of (order, links) of all shapes: marks and tokens of their groups, as places in `;`, `,`, `|`, A's tokens and B's, and the pairs of A's and B's tokens that share bytes, by place among both."""
+    """SQL of (order, links) of all shapes: the tokens in the order of groups, as places from 1 on in A's and then B's, with 0 before those that are not the first of their side, and the pairs of A's and B's tokens that share bytes, as two arrays of places."""
     # all ends in one order, A's before B's where they are equal; the lower bits tell the side and A's index
     order = "sort_array(concat(transform(f.a_ends, (e, i) -> shiftleft(CAST(e AS BIGINT), 32) | i), transform(f.b_ends, e -> shiftleft(CAST(e AS BIGINT), 32) | 2147483648L)))"
     # A's token i shares bytes with B's up to hi[i]: as many of B's end before it as its place in that order tells
     hi = f"filter(transform({order}, (c, k) -> IF((c & 2147483648L) = 0, k - CAST(c & 2147483647L AS INT), -1)), v -> v >= 0)"
     high = _step("shapes", ae="f.a_ends", be="f.b_ends", hi=hi)
     low = _step(
-        high, m="size(f.ae)", hi="f.hi", cuts="array_intersect(f.ae, f.be)", al="filter(transform(f.hi, (x, i) -> IF(f.be[x] = f.ae[i], i, -1)), v -> v >= 0)",
+        high, m="size(f.ae)", hi="f.hi", cuts="array_intersect(f.ae, f.be)", al="filter(transform(f.hi, (x, i) -> IF(f.be[x] = f.ae[i], i + 1, 0)), v -> v > 0)",
         lo="transform(f.hi, (h, i) -> IF(i = 0, 0, f.hi[i - 1] + IF(f.be[f.hi[i - 1]] = f.ae[i - 1], 1, 0)))",
     )
-    part = lambda last, base, mark: f"transform(sequence(IF(g = 0, 0, {last('g - 1')} + 1), {last('g')}), (i, k) -> IF(k > 0, array(1, {base} + i), {mark.format(f'{base} + i')}))"
-    ordered = f"flatten(flatten(transform(f.cuts, (x, g) -> concat({part('f.al[{}]'.format, '3', 'IF(g = 0, array({0}), array(0, {0}))')}, {part('f.hi[f.al[{}]]'.format, '3 + f.m', 'array(2, {0})')}))))"
-    return _step(low, order=ordered, links="flatten(transform(f.hi, (h, i) -> transform(sequence(f.lo[i], h), j -> named_struct('i', i, 'j', f.m + j))))")
+    # a group has A's tokens after the last group's, up to f.al[g], and the B tokens of their links; most groups have one of each
+    before, last = "IF(g = 0, 0, f.al[g - 1])", "f.m + 1 + f.hi[f.al[g] - 1]"
+    part = "transform(sequence({}, {}), (i, k) -> IF(k > 0, array(0, i), array(i)))".format
+    several = f"flatten(concat({part(f'{before} + 1', 'f.al[g]')}, {part(f'f.m + 1 + f.lo[{before}]', last)}))"
+    ordered = f"flatten(transform(f.cuts, (x, g) -> IF({before} = f.al[g] - 1 AND f.lo[f.al[g] - 1] = f.hi[f.al[g] - 1], array(f.al[g], {last}), {several})))"
+    i, j = "array_repeat(i + 1, h - f.lo[i] + 1)", "sequence(f.m + 1 + f.lo[i], f.m + 1 + h)"
+    return _step(low, order=ordered, **{side: f"flatten(transform(f.hi, (h, i) -> {x}))" for side, x in (("i", i), ("j", j))})
 
 
 def align(docs: DataFrame, text: str, carry: list[str], a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """carry columns as c0, c1, ..., n_a, n_b, n_groups, `groups` (A's ids, `|`, B's ids of each, parted by `;`) and `links` (A's id * 2^32 + B's id of each), in the order of the text."""
-    joined = let("array_join(transform(s[f.shape].order, x -> pool[x]), '')", pool="concat(array(';', ',', '|'), CAST(f.ids AS ARRAY<STRING>))")
-    filled = _step("fragments", groups=joined, links="transform(s[f.shape].links, x -> shiftleft(CAST(f.ids[x.i] AS BIGINT), 32) | f.ids[x.j])")
-    # a lambda's result is copied, so that of all documents is no lambda's: t is a column below the generator, and rows that are copied from it are flat bytes
-    blocks = tokenize_pairs(docs, text, carry, a_path, b_path).select("docs", F.expr(let(filled, s=_aligned())).alias("t"))
+    joined = "array_join(transform(s[f.shape].order, x -> names[own[x]]), '')"
+    # a name begins with what parts it from the other side's or group's; where 0 is before it, a comma stands instead
+    groups = let(f"substring(replace(replace({joined}, ',;', ','), ',|', ','), 2)", own="f.tokens")
+    links = let("zip_with(s[f.shape].i, s[f.shape].j, (i, j) -> halves[own[i]] | halves[own[j]])", own="f.tokens")
+    # a lambda's result is copied whole, so what all fragments or documents share is no lambda's but a column; s is used twice, so projections are not merged
+    shared = tokenize_pairs(docs, text, carry, a_path, b_path).select("docs", "fragments", "names", "halves", F.expr(_aligned()).alias("s"))
+    blocks = shared.select("docs", *(F.expr(f"transform(fragments, f -> {x})").alias(side) for side, x in (("groups", groups), ("links", links))))
     own = ", ".join(f"'{x}', d.{x}" for x in [*(f"c{i}" for i in range(len(carry))), "n_a", "n_b"])
-    whole = f"transform(docs, d -> named_struct({own}, 'groups', array_join(transform(d.words, w -> t[w].groups), ';'), 'links', flatten(transform(d.words, w -> t[w].links))))"
+    whole = f"transform(docs, d -> named_struct({own}, 'groups', array_join(transform(d.words, w -> groups[w]), ';'), 'links', flatten(transform(d.words, w -> links[w]))))"
     # the tokens of a group have one link less than they are, as each but the last end of a side opens one
     groups = (F.col("d.n_a") + F.col("d.n_b") - F.size("d.links")).alias("n_groups")
     return blocks.select(F.explode(F.expr(whole)).alias("d")).select(*(f"d.c{i}" for i in range(len(carry))), "d.n_a", "d.n_b", groups, "d.groups", "d.links")
